@@ -51,8 +51,8 @@ def paired_latency(df: DataFrame, keys: Sequence[str] = ("sock",), action: str =
     ``end`` and ``destroy`` clear the pending start. Rows: keys, ts, us, bound.
 
     A chunk needs only the start still pending when it opens. That is the first
-    start after the last clearing event before it, found from two values per
-    chunk: its first start, and its first start after its own last clear.
+    start after the last clearing event before it; every chunk contributes its
+    first start after its own last clear.
     """
     keys, order = list(keys), list(order)
     body = df.select(*keys, *order, action).withColumn("__us", F.unix_micros("ts"))
@@ -63,8 +63,7 @@ def paired_latency(df: DataFrame, keys: Sequence[str] = ("sock",), action: str =
     last_clear = body.where(clears).groupBy(*keys, CHUNK).agg(F.max(F.struct(*order)).alias("__clear"))
     tails = (body.where(starts).join(last_clear, [*keys, CHUNK], "left")
              .groupBy(*keys, CHUNK)
-             .agg(F.min("__us").alias("__first"),
-                  F.min(F.when(F.col("__clear").isNull() | (F.struct(*order) > F.col("__clear")), F.col("__us"))).alias("__tail")))
+             .agg(F.min(F.when(F.col("__clear").isNull() | (F.struct(*order) > F.col("__clear")), F.col("__us"))).alias("__tail")))
     chunks = body.select(*keys, CHUNK).distinct().join(tails, [*keys, CHUNK], "left").join(
         last_clear.select(*keys, CHUNK, F.lit(True).alias("__cleared")), [*keys, CHUNK], "left")
     per_key = Window.partitionBy(*keys).orderBy(CHUNK)
