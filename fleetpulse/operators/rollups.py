@@ -99,7 +99,8 @@ def metric_catalog(df: DataFrame, substring: str = "") -> DataFrame:
 
 def session_overview(df: DataFrame, approximate: bool = False) -> DataFrame:
     distinct = F.approx_count_distinct if approximate else F.count_distinct
-    series = F.xxhash64(*SERIES) if approximate else F.struct(*SERIES)
+    identity = (*SERIES, "kind", "unit")
+    series = F.xxhash64(*identity) if approximate else F.struct(*identity)
     return df.agg(F.count(F.lit(1)).alias("rows"), distinct(F.col("name")).alias("metrics"),
                   distinct(series).alias("series"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 

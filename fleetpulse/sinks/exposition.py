@@ -68,7 +68,7 @@ def export_json(df: DataFrame, ps: Sequence[float] = ROLLUP_PERCENTILES) -> Data
 
 def csv_rows(df: DataFrame) -> DataFrame:
     """The eleven export columns as text, safe to open in a spreadsheet."""
-    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS")
     source = {"ts_unix_ms": F.unix_millis("ts"), "time_utc": stamp, "labels_json": F.col("labels_key")}
     return df.select(*[
         F.regexp_replace(F.coalesce(source.get(c, F.col(c)).cast("string"), F.lit("")), "^([=+@-])", "'$1").alias(c)

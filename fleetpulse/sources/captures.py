@@ -17,7 +17,7 @@ _U64 = r"^\+?\d{1,20}$"
 CPU_FIELDS = ("user", "nice", "system", "idle", "iowait", "irq", "softirq", "steal")
 NET_FIELDS = {"receive/bytes": 0, "receive/errors": 2, "receive/dropped": 3,
               "transmit/bytes": 8, "transmit/errors": 10, "transmit/dropped": 11}
-DISK_FIELDS = {"read_bytes": 2, "write_bytes": 6}
+DISK_FIELDS = {"read/bytes": 2, "write/bytes": 6}
 IGNORED_MEMORY_KEYS = ("VmallocTotal", "VmallocChunk")
 
 
@@ -180,8 +180,8 @@ def ingest_load_text(lines: DataFrame) -> DataFrame:
     loads = F.transform(F.slice(words, F.lit(1), F.lit(3)), _hundredths)
     rows = lines.where(F.size(words) >= 3).select("host", "ts", loads.alias("__l")).where(
         (F.size("__l") == 3) & F.forall("__l", lambda v: v.isNotNull()))
-    cells = F.array(*[F.struct(F.lit(f"system/load/{n}").alias("name"), F.element_at("__l", i + 1).alias("raw"))
-                      for i, n in enumerate(("1m", "5m", "15m"))])
+    cells = F.array(*[F.struct(F.lit(f"cpu/load/{n}").alias("name"), F.element_at("__l", i + 1).alias("raw"))
+                      for i, n in enumerate(("load1", "load5", "load15"))])
     rows = rows.select("host", "ts", F.explode(cells).alias("__c"))
     return _observation(rows, F.col("__c.name"), F.col("__c.raw"), "gauge", "none")
 
@@ -196,7 +196,8 @@ def ingest_pressure_text(lines: DataFrame) -> DataFrame:
             F.regexp_extract_all("value", F.lit(r"(avg\d+)=(\S+)"), F.lit(2)).alias("v"))).alias("__p"))
         .where(F.col("__p.avg").isin("avg10", "avg60", "avg300")))
     raw = F.coalesce(_hundredths(F.col("__p.v")), F.lit(0).cast(U64))
-    return _observation(rows, F.concat_ws("/", F.lit("pressure"), "resource", "share", "__p.avg"), raw, "gauge", "percent")
+    name = F.concat(F.lit("psi/"), "resource", F.lit("/"), "share", F.lit("_"), "__p.avg")
+    return _observation(rows, name, raw, "gauge", "none")
 
 
 def ingest_socket_text(lines: DataFrame) -> DataFrame:
@@ -210,7 +211,7 @@ def ingest_socket_text(lines: DataFrame) -> DataFrame:
     rows = (rows.select("*", F.explode(cells).alias("__c")).where(F.col("__c.proto") == F.col("__proto")))
     at = F.array_position("__w", F.col("__c.field"))
     raw = F.coalesce(_uint(F.try_element_at("__w", F.when(at > 0, at + 1).cast("int"))), F.lit(0).cast(U64))
-    name = F.concat(F.lower(F.translate("__c.proto", ":", "")), F.lit("/sockets/"), F.col("__c.field"))
+    name = F.concat(F.lit("net/sockets/"), F.lower(F.translate("__c.proto", ":", "")), F.lit("_"), F.col("__c.field"))
     return _observation(rows, name, raw, "gauge", "count")
 
 
