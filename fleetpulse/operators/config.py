@@ -65,10 +65,11 @@ def flatten_config(df: DataFrame) -> DataFrame:
             return F.concat(F.lit(before), name, F.lit(after), *([tail] if tail is not None else []))
 
         fields = F.array(*[pair(named(p), info[field]) for p, field in INTERFACE_KEYS.items()])
-        lists = [F.transform(F.coalesce(info["steering"][field], F.array().cast("array<struct<id:bigint,value:string>>")),
-                             lambda q, p=p: pair(named(p, q["id"].cast("string")), q["value"]))
-                 for p, field in STEERING_KEYS.items()]
-        return F.concat(fields, *lists)
+        def per_queue(pattern, field):
+            held = F.coalesce(info["steering"][field], F.array().cast("array<struct<id:bigint,value:string>>"))
+            return F.transform(held, lambda q: pair(named(pattern, q["id"].cast("string")), q["value"]))
+
+        return F.concat(fields, *[per_queue(p, field) for p, field in STEERING_KEYS.items()])
 
     pairs = F.concat(sysctl, F.coalesce(
         F.flatten(F.transform(F.map_entries("interfaces"), interface)),
