@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fleetpulse.durations import micros
 from fleetpulse.operators.chunks import DEFAULT_CHUNK, running_total, with_previous
@@ -23,16 +23,24 @@ def counter_rate(df: DataFrame, min_dt=0.005, keys: Sequence[str] = SERIES, valu
     becomes the new baseline without a rate. The first reading has none either.
     """
     keys = list(keys)
-    # Unsigned 64-bit values keep their order in a signed long when shifted by 2^63.
-    shifted = df.withColumn("__v", (F.col(value).cast(U64) - u64(_HALF)).cast("bigint"))
-    kept = kept_chain(shifted, keys, "ts", min_dt, "__v", tie, chunk)
-    # Compared before any subtraction: a reset across the full range would not fit a long.
+    kept = kept_chain(df.withColumn("__v", ordered_long(value)), keys, "ts", min_dt, "__v", tie, chunk)
+    return rates_of_chain(kept, keys)
+
+
+def ordered_long(value) -> Column:
+    """Unsigned 64-bit values as signed longs of the same order, shifted by 2^63."""
+    value = F.col(value) if isinstance(value, str) else value
+    return (value.cast(U64) - u64(_HALF)).cast("bigint")
+
+
+def rates_of_chain(kept: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rates between chained readings (us, value, prev_us, prev_value); resets and firsts give none."""
     rated = kept.where("prev_us is not null and value >= prev_value")
+    # Subtracted as decimals: the full unsigned range does not fit a long.
     delta = F.col("value").cast(U64) - F.col("prev_value").cast(U64)
     seconds = (F.col("us") - F.col("prev_us")).cast("double") / F.lit(1e6)
     return rated.select(
-        *keys, F.timestamp_micros("us").alias("ts"),
-        (F.col("value").cast(U64) + u64(_HALF)).cast(U64).alias("raw"),
+        *keys, F.timestamp_micros("us").alias("ts"), (F.col("value").cast(U64) + u64(_HALF)).cast(U64).alias("raw"),
         F.round(delta.cast("double") / seconds).cast(U64).alias("rate"))
 
 

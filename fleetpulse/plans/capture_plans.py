@@ -20,7 +20,7 @@ def _s(c):
 
 
 @plan("ingest_exposition_text", f"""SELECT CAST(event_id AS VARCHAR) AS host, name, label_keys, event, path, CAST(v AS DOUBLE) AS value, sample_ms FROM (
-SELECT event_id, 'm_' || event_type AS name, 'event,path' AS label_keys, event_type AS event, 'a,' || user_id || '"}}' AS path, {CENTS} AS v, epoch_ms(ts) AS sample_ms FROM events
+SELECT event_id, 'm_' || event_type AS name, 'event,path' AS label_keys, event_type AS event, 'a,' || user_id || '"}}' AS path, {CENTS} AS v, epoch_us(ts) // 1000 AS sample_ms FROM events
 UNION ALL SELECT event_id, 'some_value', '', NULL, NULL, user_id, NULL FROM events)""")
 def ingest_exposition_text(spark, sf):
     ev = events(spark, sf)

@@ -43,7 +43,7 @@ def validate_recording(spark, sf):
     return bad.select("reason", "event_id")
 
 
-@plan("decode_recording", f"""SELECT event_id, epoch_ms(ts) AS ts_ms, '{{"a":"' || event_type || '","z":"1"}}' AS labels_key,
+@plan("decode_recording", f"""SELECT event_id, epoch_us(ts) // 1000 AS ts_ms, '{{"a":"' || event_type || '","z":"1"}}' AS labels_key,
 CASE WHEN event_id % 17 = 6 THEN NULL ELSE 10 END AS p50, CASE WHEN event_id % 17 = 6 THEN NULL ELSE {CENTS} + 30 END AS p99 FROM events WHERE {_REASON} IS NULL""")
 def decode_recording(spark, sf):
     good, _ = R.validate_recording(recorded(spark, sf))

@@ -26,8 +26,8 @@ LABELS = T.MapType(T.StringType(), T.StringType())
 
 def bucket_array_type(number=T.LongType()):
     return T.ArrayType(T.StructType([
-        T.StructField("bound", number, False),
-        T.StructField("count", number, False),
+        T.StructField("bound", number),
+        T.StructField("count", number),
     ]))
 
 

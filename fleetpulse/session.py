@@ -2,17 +2,32 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Pin what results depend on: UTC timestamps."""
+    """Pin what results and stateful streams depend on: UTC timestamps and a state store on disk."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return spark
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for checkpoints and intermediate tables.
+
+    It lies in the shared folder the cluster names in ``spark.checkpoint.dir``;
+    only where that is unset, as in tests, on this machine.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    unique = f"{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{unique}" if base else f"{tempfile.mkdtemp(prefix='fleetpulse-')}/{unique}"
+
+
 def local_session(cores: str | int = "*", name: str = "fleetpulse", **extra) -> SparkSession:
     """A session for tests and single-node runs."""
     builder = (SparkSession.builder.master(f"local[{cores}]").appName(name)
