@@ -193,7 +193,7 @@ class ConfigHistory(StatefulProcessor):
         for snapshot, pairs in zip(frame["snapshot"].tolist(), frame["config"].tolist(), strict=True):
             if last is not None and snapshot <= last:
                 continue
-            fresh = dict(pairs)
+            fresh = {p["key"]: p["value"] for p in pairs}
             if known is not None:
                 changes += [(snapshot, k, known[k], v) for k, v in fresh.items() if k in known and known[k] != v]
             known, last = fresh, snapshot
