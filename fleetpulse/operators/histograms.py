@@ -69,8 +69,9 @@ def sliding_histogram(slices: DataFrame, window="60 s", step="10 s", width="100
             .agg(F.sum("count").alias("count")))
 
 
-def bucket_array(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+def bucket_array(df: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
     """Sparse ascending array per key; bounded by the bucket grid, not by the data."""
+    keys = [c for c in df.columns if c not in ("bound", "count", "clamped")] if keys is None else keys
     return df.where(F.col("count") > 0).groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("bound", "count"))).alias("buckets"))
 

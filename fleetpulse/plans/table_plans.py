@@ -8,10 +8,12 @@ from fleetpulse.functions.text import encode_labels
 from fleetpulse.operators.histograms import rollup_row
 from fleetpulse.plans.adapters import CENTS, OBS_GAUGE, SAMPLES, cents, events, obs_gauge, samples, snapshots
 from fleetpulse.plans.registry import plan
-from fleetpulse.schema import U64
+from fleetpulse.schema import SAMPLES as SAMPLES_SCHEMA, U64
+from fleetpulse.session import scratch
 from fleetpulse.sinks import exposition as E, tables as K
 from fleetpulse.sources import recordings as R
 
+SAMPLES_DDL = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in SAMPLES_SCHEMA)
 _KIND_SQL = "CASE name WHEN 'tcp_rtt_us' THEN 'distribution' WHEN 'tcp_retrans_segs' THEN 'gauge' ELSE 'counter' END"
 _LABELS = "'{\"iface\":\"' || iface || '\",\"queue\":\"' || queue || '\"}'"
 _BUCKETS = """bj AS (SELECT us, name, 'eth' || iface AS iface, CAST(queue AS VARCHAR) AS queue,
@@ -116,3 +118,53 @@ def csv_rows(spark, sf):
     rows = rollup_row(snapshots(spark, sf)).withColumns({
         "labels_key": encode_labels("labels"), "name": F.concat(F.lit("="), "name"), "p999": F.lit(None).cast("bigint")})
     return E.csv_rows(rows)
+
+
+@plan("read_recording", f"""SELECT epoch_us(ts) // 1000 AS ts_ms, '{{"a":"' || event_type || '","z":"1"}}' AS labels_key, {CENTS} AS raw,
+CASE WHEN event_id % 17 = 6 THEN NULL ELSE 10 END AS p50, CASE WHEN event_id % 17 = 6 THEN NULL ELSE {CENTS} + 30 END AS p999 FROM events WHERE {_REASON} IS NULL""")
+def read_recording(spark, sf):
+    path = scratch(spark, "recording")
+    recorded(spark, sf).drop("event_id").write.parquet(path)
+    out = R.read_recording(spark, path)
+    return out.select(F.col("ts_unix_ms").alias("ts_ms"), "labels_key", F.col("raw").cast("bigint").alias("raw"),
+                      F.col("p50").cast("bigint").alias("p50"), F.col("p999").cast("bigint").alias("p999"))
+
+
+@plan("write_recording", f"""WITH {SAMPLES}, {_BUCKETS}
+SELECT us // 1000 AS ts_unix_ms, us // 1000 - us // 1000 % 86400000 AS period, name, {_LABELS} AS labels_json, s.raw, buckets_json FROM samples s JOIN bj USING (us, name, iface, queue)""")
+def write_recording(spark, sf):
+    path = scratch(spark, "recording")
+    K.write_recording(snapshots(spark, sf), path, "1 day")
+    rows = spark.read.schema("ts_unix_ms bigint, name string, labels_json string, raw decimal(20,0), buckets_json string, period bigint").parquet(path)
+    return rows.select("ts_unix_ms", "period", "name", "labels_json", F.col("raw").cast("bigint").alias("raw"), "buckets_json")
+
+
+@plan("recording_catalog", f"""WITH {SAMPLES} SELECT us // 1000 - us // 1000 % 86400000 AS period, count(*) AS rows, min(us // 1000) AS first_ms, max(us // 1000) AS last_ms FROM samples GROUP BY ALL""")
+def recording_catalog(spark, sf):
+    path = scratch(spark, "recording")
+    K.write_recording(snapshots(spark, sf), path, "1 day")
+    files = R.recording_catalog(spark, path).where("bytes > 0")
+    period = F.regexp_extract("path", "period=([0-9]+)", 1).cast("bigint").alias("period")
+    return files.groupBy(period).agg(F.sum("rows").alias("rows"), F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms"))
+
+
+@plan("write_samples", f"""WITH {SAMPLES} SELECT us, name, {_LABELS} AS tags, raw, p50, p90, p99, p999 FROM samples
+WHERE name = 'tcp_rtt_us' AND CAST(make_timestamp(us) AS DATE) = DATE '2024-01-09'""")
+def write_samples(spark, sf):
+    path = scratch(spark, "samples")
+    K.write_samples(snapshots(spark, sf), path)
+    table = spark.read.schema(f"{SAMPLES_DDL}, date date").parquet(path)
+    # One directory is listed, and row groups of other names are skipped.
+    rows = table.where((F.col("date") == "2024-01-09") & (F.col("name") == "tcp_rtt_us"))
+    return rows.select(F.unix_micros("ts").alias("us"), "name", encode_labels("tags").alias("tags"), F.col("raw").cast("bigint").alias("raw"),
+                       "p50", "p90", "p99", "p999")
+
+
+@plan("load_session_files", f"SELECT DISTINCT epoch_us(ts) // 1000 AS ts_ms, {CENTS} AS raw FROM events WHERE {_REASON} IS NULL")
+def load_session_files(spark, sf):
+    first, second = scratch(spark, "first"), scratch(spark, "second")
+    rows = recorded(spark, sf)
+    # Two recordings that overlap in a third of their rows.
+    rows.where("event_id % 3 < 2").drop("event_id").write.parquet(first)
+    rows.where("event_id % 3 > 0").drop("event_id").write.parquet(second)
+    return R.load_session(spark, [first, second]).select(F.col("ts_unix_ms").alias("ts_ms"), F.col("raw").cast("bigint").alias("raw"))

@@ -15,6 +15,10 @@ CSV_COLUMNS = ("ts_unix_ms", "time_utc", "name", "labels_json", "kind", "unit",
 
 def exposition_rows(df: DataFrame, ps: Sequence[float] = ROLLUP_PERCENTILES) -> DataFrame:
     """Long rows (family, type, labels, percentile, value): the raw family and one per percentile."""
+    return _ranked_rows(df, ps).drop("rank")
+
+
+def _ranked_rows(df: DataFrame, ps: Sequence[float]) -> DataFrame:
     ps = check_percentiles(ps)
     base = sanitize_name("name", "exposition")
     held = df.select(base.alias("__base"), "kind", "labels", F.col("raw").cast(U64).alias("__raw"),
@@ -37,7 +41,7 @@ def exposition_rows(df: DataFrame, ps: Sequence[float] = ROLLUP_PERCENTILES) ->
 
 def exposition_lines(df: DataFrame, ps: Sequence[float] = ROLLUP_PERCENTILES) -> DataFrame:
     """Unsorted lines with their sort keys; each family's TYPE line exists once."""
-    rows = exposition_rows(df, ps)
+    rows = _ranked_rows(df, ps)
     text = label_text("labels", F.col("percentile"))
     samples = rows.select("family", F.lit(1).alias("part"), text.alias("key"), "rank",
                           F.concat("family", text, F.lit(" "), F.col("value").cast("string")).alias("value"))

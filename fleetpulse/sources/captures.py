@@ -165,9 +165,21 @@ def ingest_disk_text(lines: DataFrame) -> DataFrame:
                         F.create_map(F.lit("device"), F.col("device")))
 
 
-def ingest_entity_table_text(lines: DataFrame, table: str) -> DataFrame:
-    """``cpu``, ``interface`` or ``disk`` lines to long counters."""
-    return {"cpu": ingest_cpu_text, "interface": ingest_interface_text, "disk": ingest_disk_text}[table](lines)
+def _by_file(lines: DataFrame, parsers: dict, table: str | None) -> DataFrame:
+    """One parser, or all of them on the captures whose file name is theirs."""
+    if table is not None:
+        return parsers[table][1](lines)
+    parts = [parse(lines.where(F.col("path").rlike(pattern))) for pattern, parse in parsers.values()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def ingest_entity_table_text(lines: DataFrame, table: str | None = None) -> DataFrame:
+    """``cpu``, ``interface`` or ``disk`` lines to long counters; without ``table`` the file name decides."""
+    return _by_file(lines, {"cpu": (r"(^|[/_])stat$", ingest_cpu_text), "interface": (r"net[/_]dev$", ingest_interface_text),
+                            "disk": (r"diskstats$", ingest_disk_text)}, table)
 
 
 def _hundredths(c: Column) -> Column:
@@ -215,9 +227,10 @@ def ingest_socket_text(lines: DataFrame) -> DataFrame:
     return _observation(rows, name, raw, "gauge", "count")
 
 
-def ingest_pressure_load_text(lines: DataFrame, table: str) -> DataFrame:
-    """``load``, ``pressure`` or ``socket`` captures to gauges."""
-    return {"load": ingest_load_text, "pressure": ingest_pressure_text, "socket": ingest_socket_text}[table](lines)
+def ingest_pressure_load_text(lines: DataFrame, table: str | None = None) -> DataFrame:
+    """``load``, ``pressure`` or ``socket`` captures to gauges; without ``table`` the file name decides."""
+    return _by_file(lines, {"load": (r"loadavg$", ingest_load_text), "pressure": (r"pressure[/_](cpu|memory|io)$", ingest_pressure_text),
+                            "socket": (r"sockstat6?$", ingest_socket_text)}, table)
 
 
 def ingest_matrix_text(lines: DataFrame) -> DataFrame:
