@@ -33,19 +33,29 @@ def nearest_rank(p: float, total) -> Column:
 
 
 def _walk(buckets: Column, ps: tuple[float, ...]) -> Column:
-    # One pass over the array answers all percentiles; the total comes first.
+    # The total comes first, then one pass answers all percentiles. The ranks
+    # travel in the accumulator: inside the lambda they would be computed anew
+    # for every bucket.
     total = F.aggregate(buckets, F.lit(0.0), lambda acc, b: acc + b["count"].cast("double"))
-    ranks = F.array(*[nearest_rank(p, total) for p in ps])
-    start = F.struct(F.lit(0.0).alias("seen"),
-                     *[F.lit(None).cast("decimal(20,0)").alias(f"a{i}") for i in range(len(ps))])
+    number = range(len(ps))
+    nothing = F.lit(None).cast("decimal(20,0)")
+
+    def state(seen, ranks, answers):
+        return F.struct(seen.alias("seen"), F.struct(*[ranks[i].alias(f"r{i}") for i in number]).alias("ranks"),
+                        *[answers[i].alias(f"a{i}") for i in number])
 
     def step(acc, b):
         seen = acc["seen"] + b["count"].cast("double")
-        return F.struct(seen.alias("seen"), *[
-            F.coalesce(acc[f"a{i}"], F.when(seen >= ranks[i], b["bound"].cast("decimal(20,0)"))).alias(f"a{i}")
-            for i in range(len(ps))])
+        answers = [F.coalesce(acc[f"a{i}"], F.when(seen >= acc["ranks"][f"r{i}"], b["bound"].cast("decimal(20,0)")))
+                   for i in number]
+        return F.struct(seen.alias("seen"), acc["ranks"].alias("ranks"), *[answers[i].alias(f"a{i}") for i in number])
+
+    def ranked(n):
+        return state(F.lit(0.0), [nearest_rank(p, n) for p in ps], [nothing for _ in ps])
 
-    return F.aggregate(buckets, start, step, lambda acc: F.array(*[acc[f"a{i}"] for i in range(len(ps))]))
+    # A one-element transform evaluates the total once.
+    start = F.element_at(F.transform(F.array(total), ranked), 1)
+    return F.aggregate(buckets, start, step, lambda acc: F.array(*[acc[f"a{i}"] for i in number]))
 
 
 def percentiles_or_null(buckets, ps: Sequence[float] = ROLLUP_PERCENTILES) -> Column:

@@ -132,7 +132,7 @@ def kept_chain(df: DataFrame, keys: Sequence[str], ts: str, min_gap, value: str
     rows = df.select(*keys, F.unix_micros(ts).alias("__t"),
                      (F.col(tie) if tie else F.lit(0)).cast("bigint").alias("__tie"),
                      (F.col(value) if value else F.lit(0)).cast("bigint").alias("__v"))
-    order = ["__t", "__tie"]
+    order = ["__t", "__tie"] if tie else ["__t"]
     both, w = seeded(rows, keys, order, list(_LONGS), micros(chunk))
     lagged = both.select(
         "*", F.lag("__t").over(w).alias("__pt"), F.lag("__v").over(w).alias("__pv"),
@@ -171,7 +171,9 @@ def kept_chain(df: DataFrame, keys: Sequence[str], ts: str, min_gap, value: str
     entries = maps.groupBy(*keys).applyInPandas(
         _compose(columns), T.StructType([
             *key_fields, T.StructField("__entered", T.BooleanType()), *longs("__t_prev", "__v_prev")]))
-    joined = held.join(entries, columns)
+    # Every group has an entry row. A left join adds no not-null filter below the
+    # exchange of ``held``, so all three passes read the same shuffle.
+    joined = held.join(entries, columns, "left")
     replayed = joined.groupBy(*columns).applyInPandas(_replay(gap), joined.schema)
     rest = replayed.where(~F.col("__direct")).select(
         *keys, F.col("__t").alias("us"), F.col("__tie").alias("tie"), F.col("__v").alias("value"),
