@@ -58,6 +58,7 @@ def stream_counter_rate(spark, sf):
 
 @plan("stream_expire", f"""WITH {OBS_GAUGE}, l AS (SELECT user_id, max(us) AS last FROM obs GROUP BY ALL), m AS (SELECT max(us) AS us FROM obs)
 SELECT user_id, us, 1 AS total, false AS expired FROM obs UNION ALL
+SELECT user_id, us + {36 * HOUR_US}, 0, true FROM (SELECT user_id, us, lead(us) OVER (PARTITION BY user_id ORDER BY us) AS next FROM obs) WHERE next - us > {36 * HOUR_US} UNION ALL
 SELECT user_id, last + {36 * HOUR_US}, 0, true FROM l, m WHERE (last + {36 * HOUR_US}) // 1000 + 1 <= m.us // 1000 - 60000""")
 def stream_expire(spark, sf):
     one = F.array(F.struct(F.col("raw").alias("bound"), F.lit(1).cast("bigint").alias("count")))

@@ -79,15 +79,20 @@ class Expiry(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         frame = _ordered(rows, ["us"])
-        newest = int(frame["us"].iloc[-1])
+        times = frame["us"].to_numpy(np.int64)
+        newest = int(times[-1])
         if self.last.exists():
             before = self.last.get()[0]
             self.handle.deleteTimer(self._deadline_ms(before))
             newest = max(newest, before)
+            times = np.concatenate(([before], times))
         self.last.update((newest,))
         self.handle.registerTimer(self._deadline_ms(newest))
-        out = frame[["us", "total"]].copy()
-        out["expired"] = False
+        # A silence that ends within the batches at hand needs no timer.
+        silent = times[:-1][np.diff(times) > self.stale] + self.stale
+        out = pd.concat([pd.DataFrame({"us": frame["us"], "total": frame["total"], "expired": False}),
+                         pd.DataFrame({"us": silent, "total": 0, "expired": True})], ignore_index=True)
+        out["expired"] = out["expired"].astype(bool)
         yield _with_key(out, self.keys, key)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
