@@ -5,11 +5,13 @@ later, or the first whose value is lower: a reset), so membership is sequential.
 Two facts keep it distributed and exact:
 
 * a row that lies ``min_gap`` or more after its predecessor is kept whatever
-  happened before it, so in ordinary data nearly every row is decided by ``lag``;
+  happened before it, so in ordinary data every row is decided by ``lag``, and
+  one small row per chunk tells the next chunk how it ended;
 * otherwise a chunk of a series is a function from the last kept row before it
   to the last kept row in it, and only rows within two gaps of the chunk's
-  start can be that entry. Chunks evaluate this function in parallel, one small
-  table per series composes them, and a second pass replays each chunk.
+  start can be that entry. Only such chunks, and their neighbours, go to
+  Python: they evaluate the function in parallel, one small table per series
+  composes them, and a second pass replays each chunk.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from fleetpulse.durations import micros
 from fleetpulse.operators.chunks import CHUNK, DEFAULT_CHUNK, SEED, seeded
@@ -51,7 +53,7 @@ def _transitions(gap: int, columns: list[str]):
         t, v = pdf["__t"].to_numpy(np.int64), pdf["__v"].to_numpy(np.int64)
         halo = int(pdf["__halo"].sum())
         if halo == len(pdf):
-            return pd.DataFrame(columns=[*(f"{c}_out" for c in _LONGS), "__free", "__t_in", "__tie_in", *columns])
+            return pd.DataFrame(columns=[*(f"{c}_out" for c in _LONGS), "__free", "__t_in", "__tie_in", "__before", *columns])
         sync = np.flatnonzero(pdf["__sync"].to_numpy(bool)[halo:])
         following = _next_kept(t, v, gap)
         # leave[i]: the last row of this chunk on the chain through i.
@@ -66,7 +68,7 @@ def _transitions(gap: int, columns: list[str]):
         out["__free"] = len(sync) > 0
         out["__t_in"] = t[entries]
         out["__tie_in"] = pdf["__tie"].to_numpy(np.int64)[entries]
-        for c in columns:
+        for c in ("__before", *columns):
             out[c] = pdf[c].iloc[-1]
         return out
     return run
@@ -74,18 +76,22 @@ def _transitions(gap: int, columns: list[str]):
 
 def _compose(columns: list[str]):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, states = [], []
-        state = None
-        for _, part in pdf.groupby(CHUNK, sort=True):
+        keys, states, entered = [], [], []
+        state = chunk = None
+        for at, part in pdf.groupby(CHUNK, sort=True):
+            # Without its direct predecessor a chunk starts on a decided row.
+            if chunk is None or part["__before"].iloc[0] != chunk:
+                state = None
             keys.append([part[c].iloc[0] for c in columns])
+            entered.append(state is not None)
             states.append(state or (0, 0, 0))
             if part["__free"].iloc[0]:
                 hit = part
             else:
                 hit = part[(part["__t_in"] == state[0]) & (part["__tie_in"] == state[1])]
-            state = tuple(int(hit[f"{c}_out"].iloc[0]) for c in _LONGS)
+            state, chunk = tuple(int(hit[f"{c}_out"].iloc[0]) for c in _LONGS), at
         out = pd.DataFrame(keys, columns=columns)
-        out["__entered"] = np.arange(len(out)) > 0
+        out["__entered"] = np.array(entered, dtype=bool)
         out["__t_prev"] = np.array([s[0] for s in states], dtype=np.int64)
         out["__v_prev"] = np.array([s[2] for s in states], dtype=np.int64)
         return out
@@ -138,18 +144,42 @@ def kept_chain(df: DataFrame, keys: Sequence[str], ts: str, min_gap, value: str
         "*", F.lag("__t").over(w).alias("__pt"), F.lag("__v").over(w).alias("__pv"),
         F.lead("__t").over(w).alias("__nt"))
     spaced = lagged.withColumn("__sync", F.coalesce(F.col("__t") - F.col("__pt") >= gap, F.lit(True)))
-    # A seed's own predecessor is unknown here, so the row after it is not decided by lag.
-    known = F.lag(F.col("__sync") & ~F.col(SEED)).over(w)
     opening = F.col("__pt").isNull()
-    spaced = (spaced.withColumn("__direct", F.col("__sync") & (opening | F.coalesce(known, F.lit(False))))
-              .where(~F.col(SEED)))
-    direct = spaced.where("__direct").select(
-        *keys, F.col("__t").alias("us"), F.col("__tie").alias("tie"), F.col("__v").alias("value"),
-        F.col("__pt").alias("prev_us"), F.col("__pv").alias("prev_value"))
-
-    head = F.col("__nt").isNull() | (F.col("__nt") - F.col("__t") < gap)
-    held = spaced.where(~F.col("__direct") | head).select(
-        *keys, CHUNK, *_LONGS, "__sync", "__direct")
+    # A seed is sorted first in its chunk; how the row it copies was decided is known over there.
+    after_seed = F.coalesce(F.lag(SEED).over(w), F.lit(False))
+    spaced = (spaced.withColumns({"__edge": after_seed, "__before_sync": F.lag("__sync").over(w)})
+              .where(~F.col(SEED))
+              .withColumns({"__first": F.col("__edge") | opening, "__last": F.col("__nt").isNull(),
+                            "__direct": F.col("__sync") & (opening | (~F.col("__edge") & F.coalesce("__before_sync", F.lit(False))))}))
+
+    def out(frame):
+        return frame.select(*keys, F.col("__t").alias("us"), F.col("__tie").alias("tie"), F.col("__v").alias("value"),
+                            F.col("__pt").alias("prev_us"), F.col("__pv").alias("prev_value"))
+
+    # One row per chunk: its first row, whether its last row is decided, whether any row is not.
+    def of_first(c):
+        return F.max(F.when(F.col("__first"), F.col(c))).alias(c)
+
+    per_series = Window.partitionBy(*keys).orderBy(CHUNK)
+    chunks = spaced.groupBy(*keys, CHUNK).agg(
+        *[of_first(c) for c in (*_LONGS, "__pt", "__pv")],
+        F.max(F.when(F.col("__first"), F.col("__sync").cast("int"))).alias("__opens"),
+        F.max(F.when(F.col("__last"), F.col("__sync").cast("int"))).alias("__ends"),
+        F.max((~F.col("__sync")).cast("int")).alias("__dense"))
+    chunks = chunks.withColumns({
+        "__before": F.coalesce(F.lag(CHUNK).over(per_series), F.lit(-(2**62))),
+        "__before_ends": F.lag("__ends").over(per_series), "__after_opens": F.lead("__opens").over(per_series)})
+    decided = (F.col("__opens") == 1) & (F.coalesce("__before_ends", F.lit(0)) == 1)
+    involved = (F.col("__dense") == 1) | (F.coalesce("__before_ends", F.lit(1)) == 0) | (F.coalesce("__after_opens", F.lit(1)) == 0)
+    direct = out(spaced.where("__direct")).unionByName(out(chunks.where(decided)))
+
+    head = F.col("__last") | (F.col("__nt") - F.col("__t") < gap)
+    needed = chunks.where(involved).select(*keys, CHUNK, "__before", decided.alias("__decided"))
+    held = (spaced.where(~F.col("__direct") | head | F.col("__first"))
+            .select(*keys, CHUNK, *_LONGS, "__sync", "__direct", "__first")
+            .join(needed, [*keys, CHUNK])
+            .withColumn("__direct", F.col("__direct") | (F.col("__first") & F.col("__decided")))
+            .drop("__first", "__decided"))
     width = micros(chunk)
     # An undecided first row lies within a gap of its predecessor, and that one
     # within a gap of the row kept last: the entry is at most two gaps back.
@@ -167,7 +197,7 @@ def kept_chain(df: DataFrame, keys: Sequence[str], ts: str, min_gap, value: str
     maps = haloed.groupBy(*columns).applyInPandas(
         _transitions(gap, columns),
         T.StructType([*longs("__t_out", "__tie_out", "__v_out"),
-                      T.StructField("__free", T.BooleanType()), *longs("__t_in", "__tie_in"), *key_fields]))
+                      T.StructField("__free", T.BooleanType()), *longs("__t_in", "__tie_in", "__before"), *key_fields]))
     entries = maps.groupBy(*keys).applyInPandas(
         _compose(columns), T.StructType([
             *key_fields, T.StructField("__entered", T.BooleanType()), *longs("__t_prev", "__v_prev")]))
