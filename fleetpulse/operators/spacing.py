@@ -179,7 +179,9 @@ def kept_chain(df: DataFrame, keys: Sequence[str], ts: str, min_gap, value: str
             .select(*keys, CHUNK, *_LONGS, "__sync", "__direct", "__first")
             .join(needed, [*keys, CHUNK])
             .withColumn("__direct", F.col("__direct") | (F.col("__first") & F.col("__decided")))
-            .drop("__first", "__decided"))
+            .drop("__first", "__decided")
+            # An explicit exchange of these few rows, read by both passes below.
+            .repartition(*keys, CHUNK))
     width = micros(chunk)
     # An undecided first row lies within a gap of its predecessor, and that one
     # within a gap of the row kept last: the entry is at most two gaps back.
@@ -202,7 +204,7 @@ def kept_chain(df: DataFrame, keys: Sequence[str], ts: str, min_gap, value: str
         _compose(columns), T.StructType([
             *key_fields, T.StructField("__entered", T.BooleanType()), *longs("__t_prev", "__v_prev")]))
     # Every group has an entry row. A left join adds no not-null filter below the
-    # exchange of ``held``, so all three passes read the same shuffle.
+    # exchange of ``held``, so both passes read the same shuffle.
     joined = held.join(entries, columns, "left")
     replayed = joined.groupBy(*columns).applyInPandas(_replay(gap), joined.schema)
     rest = replayed.where(~F.col("__direct")).select(
