@@ -7,7 +7,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, counts, mixing, quality, sharding
+from . import chat, counts, decontaminate, langid, minhash, mixing, pii, quality, repeats, sharding
 from .tables import table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -30,12 +30,29 @@ def crc32_text(text):
     return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
 
 
+@query()
+def op1_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.label_languages(docs, ["doc_id"]).select("doc_id", "held_out", "lang_pred", "score")
+
+
 @query()
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return counts.count_tokens(docs, f"{TOKENIZERS}/byte_bpe_50k.json").select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+@query()
+def op3_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.find_passages(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "contaminated", "items")
+
+
+@query()
+def op4_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query()
 def op5_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -59,6 +76,23 @@ def op6_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+@query()
+def op7_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.find_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+@query()
+def op8_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_personal_data(docs, ["doc_id"])
+    kinds = F.array(*[F.lit(k) for k in pii.KINDS])
+    lines = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", kinds[s["kind"]], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count_of = lambda k: F.size(F.filter("base_spans", lambda s: s["kind"] == k)).cast("long")
+    counts_of = [count_of(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts_of, F.sha2(lines(F.col("base_spans")), 256).alias("base_sha256"), lines(F.col("spans")).alias("spans"))
+
+
 @query()
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
