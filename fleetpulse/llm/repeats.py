@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from .bytetext import U, Prefix, flat, runs
 from .tables import stored
 
-FLUSH = 2_000_000
-BUCKET_BYTES = 24 << 20
+FLUSH = 1_000_000
+BUCKET_BYTES = 16 << 20
 
 
 def difference_cover(v: int) -> np.ndarray:
@@ -156,7 +156,11 @@ def _sender(keys_of, buckets: int, width: int):
     return run
 
 
-def _sort_bucket(width: int):
+TOLD = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("owners", pa.binary()), ("sizes", pa.binary()), ("flags", pa.binary())])
+MARKS = pa.list_(pa.struct([("bucket", pa.int32()), ("flags", pa.binary())]))
+
+
+def _sort_bucket(width: int, parts: int):
     """Orders all keys of a bucket and tells, per text, which of its keys have an equal neighbour."""
     def run(rows: pa.Table) -> pa.Table:
         singles = [_keys(x, width) for x in rows["single"].to_pylist()]
@@ -168,7 +172,7 @@ def _sort_bucket(width: int):
         equal = np.zeros(len(every), bool)
         equal[order[1:]] |= same
         equal[order[:-1]] |= same
-        owners_out, flags_out, at = [], [], 0
+        seen, told, at = set(), [], 0
         for owners, counts, repeated, own in zip(rows["owners"].to_pylist(), rows["counts"].to_pylist(), rows["repeated"].to_pylist(), singles):
             counts = np.frombuffer(counts, "<u4").astype(np.int64)
             flags = np.unpackbits(np.frombuffer(repeated, np.uint8), count=counts.sum()).astype(bool)
@@ -177,20 +181,36 @@ def _sort_bucket(width: int):
             ends = np.cumsum(counts)
             owners = np.frombuffer(owners, np.int64)
             for k in np.flatnonzero(np.add.reduceat(flags, ends - counts)):
-                owners_out.append(int(owners[k])), flags_out.append(np.packbits(flags[ends[k] - counts[k]:ends[k]]).tobytes())
-        bucket = rows["bucket"][0].as_py()
-        return pa.table({"owner": pa.array(owners_out, pa.int64()), "bucket": pa.array([bucket] * len(owners_out), pa.int32()), "flags": pa.array(flags_out, pa.binary())})
+                if owners[k] not in seen:  # copies of a text get equal flags
+                    seen.add(owners[k])
+                    told.append((int(owners[k]) % parts, int(owners[k]), np.packbits(flags[ends[k] - counts[k]:ends[k]]).tobytes()))
+        bucket, out = rows["bucket"][0].as_py(), []
+        for part in sorted({t[0] for t in told}):
+            own = [t for t in told if t[0] == part]
+            out.append({"part": part, "bucket": bucket, "owners": np.array([t[1] for t in own], np.int64).tobytes(),
+                        "sizes": np.array([len(t[2]) for t in own], "<u4").tobytes(), "flags": b"".join(t[2] for t in own)})
+        return pa.Table.from_pylist(out, TOLD)
 
     return run
 
 
+def _by_text(rows: pa.Table) -> pa.Table:
+    """The flags of each text of a part, from all buckets."""
+    marks: dict[int, list] = {}
+    for r in rows.to_pylist():
+        at = 0
+        for owner, size in zip(np.frombuffer(r["owners"], np.int64).tolist(), np.frombuffer(r["sizes"], "<u4").tolist()):
+            marks.setdefault(owner, []).append({"bucket": r["bucket"], "flags": r["flags"][at:at + size]})
+            at += size
+    return pa.table({"owner": pa.array(list(marks), pa.int64()), "marks": pa.array(list(marks.values()), MARKS)})
+
+
 def equal_neighbours(rows: DataFrame, keys_of, buckets: int, width: int, name: str) -> DataFrame:
-    """(owner, marks): for every text with a repeated key, its (bucket, flags) list."""
+    """(owner, marks): for every text with a repeated key, its (bucket, flags) list. Flags come
+    back packed by part of the texts, so rows grow with buckets and parts, not with their product with texts."""
     sent = rows.mapInArrow(_sender(keys_of, buckets, width), SENT_DDL)
-    told = sent.groupBy("bucket").applyInArrow(_sort_bucket(width), "owner long, bucket int, flags binary")
-    # copies of a text get equal flags
-    one = told.groupBy("owner", "bucket").agg(F.first("flags").alias("flags"))
-    return stored(one.groupBy("owner").agg(F.collect_list(F.struct("bucket", "flags")).alias("marks")), name)
+    told = sent.groupBy("bucket").applyInArrow(_sort_bucket(width, buckets), "part int, bucket int, owners binary, sizes binary, flags binary")
+    return stored(told.groupBy("part").applyInArrow(_by_text, "owner long, marks array<struct<bucket:int,flags:binary>>"), name)
 
 
 def flagged(keys: np.ndarray, marks: list, buckets: int) -> np.ndarray:
