@@ -24,7 +24,7 @@ from .tables import SPACES, stored, words
 
 WEIGHTS = (5, 2, 1)
 ROUNDS = 12
-MADE = ("s", "size", "source_size", "target", "start", "chunk", "o", "taken", "blocks", "passes")
+MADE = ("s", "size", "source_size", "target", "start", "chunk", "o", "taken", "row", "tie", "docs", "w", "inner")
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
@@ -94,16 +94,23 @@ def slots(targets: DataFrame, block: int, slots_per_shard: int, seed: int) -> Da
     return numbered.select("shard", "s", "t", turn.alias("turn"), permuted(F.pmod("t", F.col("blocks")), F.col("blocks"), F.xxhash64("s", turn, F.lit(seed))).alias("block"))
 
 
-def mix(docs: DataFrame, carry: list[str] | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0,
+def row_keys() -> dict[str, Column]:
+    """Two hashes that tell a document row; rows with both equal have one doc_id, text and source."""
+    return {"row": F.xxhash64("doc_id", "text", "source"), "tie": F.xxhash64("text")}
+
+
+def mix(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0,
         block: int = 64, slots_per_shard: int = 16_384, chunk_docs: int = 10_000, seed: int = 23) -> tuple[DataFrame, DataFrame]:
-    """The documents in their streams (columns ``carry``, s, size, source_size, target, start), and
+    """The documents in their streams (columns ``carry``, row, tie, s, size, source_size, target, start), and
     the pieces of the mix: shard, s, t, turn, start (of the document), first and n (words of it).
+    Texts are read once for their sizes and stay where they are.
 
     Carried columns that clash with a made one are dropped.
     """
-    carry = [c for c in (carry if carry is not None else docs.columns) if c.lower() not in {*MADE, "tie", "docs", "w", "inner"}]
+    carry = [c for c in carry if c.lower() not in MADE]
     need = [c for c in ("doc_id", "source") if c not in carry]
-    sized = docs.select(*carry, *need, F.size(words(F.col("text"))).cast("long").alias("size"), F.xxhash64("text").alias("tie"))
+    keys = row_keys()
+    sized = docs.select(*carry, *need, F.size(words(F.col("text"))).cast("long").alias("size"), *[c.alias(k) for k, c in keys.items()])
     facts = stored(sized, "mix-sizes")
     targets = stored(source_targets(facts, weights, share, most), "mix-targets")
     placed = stored(streams(facts, targets, block, seed, chunk_docs), "mix-streams")
@@ -123,19 +130,23 @@ def taken_words(placed: DataFrame, pieces: DataFrame) -> DataFrame:
     return filled.unionByName(none).withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
 
 
-def mixed_texts(placed: DataFrame, pieces: DataFrame) -> DataFrame:
+def mixed_texts(docs: DataFrame, placed: DataFrame, pieces: DataFrame) -> DataFrame:
     """The mix as documents: for each pass over a source, every longest run of taken words is a
-    row with the columns of ``placed`` and that run as its text, spaces within it as they were."""
+    row with the columns of ``docs`` and that run as its text, spaces within it as they were. Rows
+    of ``docs`` equal in doc_id, text and source lend the columns of one of them."""
     runs = pieces.groupBy("s", "start", "turn").agg(F.array_sort(F.collect_list(F.struct("first", "n"))).alias("p"))
     merged = F.aggregate("p", F.array().cast("array<struct<first:bigint,n:bigint>>"), lambda acc, x: F.when(
         (F.size(acc) > 0) & (F.element_at(acc, -1)["first"] + F.element_at(acc, -1)["n"] == x["first"]),
         F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["first"].alias("first"), (F.element_at(acc, -1)["n"] + x["n"]).alias("n")))))
         .otherwise(F.concat(acc, F.array(x))))
-    runs = runs.select("s", "start", "turn", merged.alias("runs"))
-    joined = placed.where("size > 0").join(runs, ["s", "start"])
+    runs = runs.select("s", "start", merged.alias("runs")).join(placed.where("size > 0").select("s", "start", "size", "row", "tie"), ["s", "start"])
+    columns = [c for c in docs.columns if c.lower() not in {"row", "tie", "runs", "tokens", "size", "place"}]
+    keyed = docs.select(*columns, *[c.alias(k) for k, c in row_keys().items()])
+    one = keyed.withColumn("place", F.row_number().over(Window.partitionBy("row", "tie").orderBy("doc_id"))).where("place = 1")
+    joined = one.join(runs.select("row", "tie", "size", "runs"), ["row", "tie"])
     # a word with the spaces before it, so that a slice joins to the text as it was
     space = "\\x20\\x09-\\x0D"
     tokens = F.regexp_extract_all("text", F.lit(f"[{space}]*[^{space}]+"), F.lit(0))
     whole = (F.size("runs") == 1) & (F.col("runs")[0]["n"] == F.col("size"))
     texts = F.when(whole, F.array("text")).otherwise(F.transform("runs", lambda r: F.ltrim(F.array_join(F.slice("tokens", (r["first"] + 1).cast("int"), r["n"].cast("int")), ""), F.lit(SPACES))))
-    return joined.withColumn("tokens", F.when(~whole, tokens)).withColumn("text", F.explode(texts)).drop("tokens", "runs")
+    return joined.withColumn("tokens", F.when(~whole, tokens)).withColumn("text", F.explode(texts)).select(*columns)

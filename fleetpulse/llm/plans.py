@@ -96,7 +96,7 @@ def op8_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    placed, pieces = mixing.mix(docs, carry=["doc_id"])
+    placed, pieces = mixing.mix(docs)
     return mixing.taken_words(placed, pieces).select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -116,7 +116,7 @@ def group_shapes(points: DataFrame, support: float, steps: int) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, carry: list[str] | None = None, support: float = 0.75, steps: int = 3,
-                  limit: float = 150.0, least: int = 50) -> DataFrame:
+                  limit: float = 90.0, least: int = 50) -> DataFrame:
     """Columns ``carry`` of ``docs`` (default all) with statistics, ``base_failed`` and ``kept``.
 
     Carried columns that clash with a result column are dropped.
