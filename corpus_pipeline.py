@@ -41,8 +41,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a row for each run of words taken in one pass over its source."""
     configure(spark)
-    placed, pieces = mixing.mix(docs.select(*COLUMNS))
-    return mixing.mixed_texts(placed, pieces).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    docs = docs.select(*COLUMNS)
+    return mixing.mixed_texts(docs, *mixing.mix(docs)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
