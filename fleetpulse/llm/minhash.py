@@ -6,10 +6,11 @@ the lowest ``BITS`` bits of the minima, packed into longs, give an estimate of s
 counts, corrected for equal bits by chance. Candidates whose estimate is not far below the
 threshold are confirmed on full shingle sets.
 
-Links are found in two passes. First each class is compared with the smallest class among its
-buckets, which joins the bulk of every group with as many pairs as classes. Then all pairs that
-share a bucket but lie in different components so far are estimated and confirmed, so no link is
-left out. A pair of similarity 0.75 misses every one of 64 bands of 6 with probability below 4e-6.
+Links are found in two passes. First each class is compared with the most central class among its
+buckets, the one that shares buckets with the most others: that joins the bulk of every group with as many
+pairs as classes. Then the classes of buckets that still hold several components are compared in full: those
+that buckets connect are cut into blocks, and each pair of blocks is one task that multiplies
+incidence matrices and returns no more links than classes, so no link is left out and no pair is a row. A pair of similarity 0.75 misses every one of 64 bands of 6 with probability below 4e-6.
 
 Defined cases: a text without words has an empty set, is linked with nothing and kept. Rows that share
 a doc_id share a class id, so their classes are one. A null doc_id has no component; such a row is linked
@@ -33,8 +34,12 @@ WIDTH = 5
 BANDS, ROWS, BITS = 64, 6, 2
 LANES = BANDS * ROWS
 LONGS = LANES * BITS // 64
-#: So far below the threshold an estimate may lie: over six standard deviations.
-MARGIN = 0.2
+#: So far below the threshold an estimate may lie: over five standard deviations.
+MARGIN = 0.15
+#: Classes of a block, and shingles whose incidence is held at once.
+BLOCK, COLUMNS = 256, 4096
+#: Bytes of a shingle hash in the sets that are compared: within two sets, equal by chance once in 2 ** 48 pairs.
+KEPT = 6
 _rng = np.random.default_rng(7)
 MASKS = _rng.integers(0, 2**32, LANES, dtype=np.uint32)
 ODD = _rng.integers(0, 2**31, LANES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -111,9 +116,20 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["doc_id", "n", "digest", "packed", "keys"])
 
 
+def _cut(hashes: np.ndarray) -> bytes:
+    return np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :KEPT]).tobytes()
+
+
+def _whole(blob: pa.Scalar) -> np.ndarray:
+    raw = np.frombuffer(blob.as_buffer(), np.uint8).reshape(-1, KEPT)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :KEPT] = raw
+    return np.unique(out.view(np.uint64).ravel())
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1))], pa.binary())], names=["id", "hashes"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_cut(s) for s in shingle_sets(batch.column(1))], pa.binary())], names=["id", "hashes"])
 
 
 def _shared(threshold: int):
@@ -122,7 +138,7 @@ def _shared(threshold: int):
         for batch in batches:
             good = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                x, y = _whole(x), _whole(y)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(100 * both >= threshold * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
@@ -132,11 +148,11 @@ def _shared(threshold: int):
 
 def estimate(x: Column, y: Column) -> Column:
     """Similarity from two packed signatures: equal lanes by bit counts, less those equal by chance."""
-    odd_lanes = F.lit(0x5555555555555555)
+    lowest = F.lit(0x5555555555555555)  # one bit of each lane
     unequal = None
     for k in range(LONGS):
         d = x[k].bitwiseXOR(y[k])
-        n = F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(odd_lanes))
+        n = F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(lowest))
         unequal = n if unequal is None else unequal + n
     chance = 2.0 ** -BITS
     return (1 - unequal / LANES - chance) / (1 - chance)
@@ -146,16 +162,69 @@ def _plausible(x: Column, y: Column, nx: Column, ny: Column, threshold: int) ->
     return (100 * F.least(nx, ny) >= threshold * F.greatest(nx, ny)) & (estimate(x, y) >= threshold / 100 - MARGIN)
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
+def confirm(sets: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the threshold."""
-    pairs = stored(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
-    sets = stored(texts.mapInArrow(_sets, "id long, hashes binary"), "sets")
     both = pairs.join(sets.withColumnsRenamed({"id": "a", "hashes": "x"}), "a").join(sets.withColumnsRenamed({"id": "b", "hashes": "y"}), "b")
     return both.select("a", "b", "x", "y").mapInArrow(_shared(threshold), "a long, b long").distinct()
 
 
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections."""
+    every = np.concatenate(sets)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, times = np.unique(every, return_inverse=True, return_counts=True)
+    shared = times > 1
+    place = np.cumsum(shared) - 1
+    on = shared[column]
+    row, column = row[on], place[column[on]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for k in range(0, int(shared.sum()), COLUMNS):
+        a, b = np.searchsorted(column, [k, k + COLUMNS])
+        incidence = np.zeros((len(sets), COLUMNS), np.float32)
+        incidence[row[a:b], column[a:b] - k] = 1
+        out += incidence @ incidence.T
+    return out.astype(np.int64)
+
+
+def _compare_blocks(threshold: int):
+    """Links between classes of different components in a pair of blocks: a forest of them."""
+    def run(rows: pa.Table) -> pa.Table:
+        ids, parts, blocks = (rows[c].to_numpy() for c in ("id", "component", "block"))
+        sets = [_whole(x) for x in rows["hashes"].combine_chunks()]
+        size, both = np.array([len(s) for s in sets]), overlaps(sets)
+        good = 100 * both >= threshold * (size[:, None] + size[None, :] - both)
+        good &= (parts[:, None] != parts[None, :]) & ((blocks[:, None] != blocks[None, :]) | (rows["x"][0].as_py() == rows["y"][0].as_py()))
+        root = {p: p for p in parts.tolist()}
+        out = []
+        for i, j in zip(*np.nonzero(np.triu(good, 1))):
+            p, q = parts[i], parts[j]
+            while root[p] != p:
+                p = root[p]
+            while root[q] != q:
+                q = root[q]
+            if p != q:
+                root[p] = q
+                out.append((int(ids[i]), int(ids[j])))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return run
+
+
+def compare_rest(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Links among (key, id, component) rows of buckets that hold several components."""
+    least = members.groupBy("key").agg(F.min("id").alias("b"))
+    groups = components(members.join(least, "key").select(F.col("id").alias("a"), "b"))
+    held = members.select("id", "component").distinct().join(groups.withColumnRenamed("component", "cluster"), "id")
+    held = stored(held, "split-classes")
+    blocks = held.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    placed = held.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+    sent = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    sent = sent.select("id", "component", "cluster", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    return sent.join(sets, "id").groupBy("cluster", "x", "y").applyInArrow(_compare_blocks(threshold), "a long, b long")
+
+
 def link(docs: DataFrame, threshold: int = 75) -> DataFrame:
     """(doc_id, component) of the documents that are not alone."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -165,23 +234,24 @@ def link(docs: DataFrame, threshold: int = 75) -> DataFrame:
     # equal sets are linked already; one row of each goes on
     classes = signed.join(first.withColumnRenamed("id", "doc_id"), ["digest", "doc_id"], "left_semi")
     keys = classes.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
-    shared = keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
-    buckets = stored(keys.join(shared.select("key", "least"), "key"), "buckets")
+    shared = keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("held")).where("least < most")
+    buckets = stored(keys.join(shared.select("key", "held"), "key"), "buckets")
+    ranked = buckets.join(buckets.groupBy("id").agg(F.sum("held").alias("weight")), "id").select("key", "id", F.struct("weight", (-F.col("id")).alias("least")).alias("rank"))
+    centres = ranked.groupBy("key").agg(F.max("rank").alias("centre"))
+    stars = ranked.join(centres, "key").where("rank <> centre").groupBy("id").agg(F.max("centre").alias("centre"))
+    stars = stars.select(F.col("id").alias("a"), (-F.col("centre.least")).alias("b"))
     packed = classes.select(F.col("doc_id").alias("id"), "n", "packed")
     named = lambda s: packed.withColumnsRenamed({"id": s, "n": f"n{s}", "packed": f"p{s}"})
     plausible = _plausible(F.col("pa"), F.col("pb"), F.col("na"), F.col("nb"), threshold)
-    stars = buckets.where("id <> least").groupBy("id").agg(F.min("least").alias("b")).withColumnRenamed("id", "a")
     stars = stars.join(named("a"), "a").join(named("b"), "b").where(plausible).select("a", "b").distinct()
-    links = stored(copies.unionByName(confirm(base, stars, threshold)), "links")
+    texts = base.join(buckets.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = stored(texts.mapInArrow(_sets, "id long, hashes binary"), "sets")
+    links = stored(copies.unionByName(confirm(sets, stars, threshold)), "links")
     part = components(links)
     at = buckets.select("key", "id").join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))
     split = at.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    at = at.join(split, "key", "left_semi").join(packed, "id")
-    at = stored(at, "split-buckets")
-    side = lambda s: at.withColumnsRenamed({"id": s, "component": f"c{s}", "n": f"n{s}", "packed": f"p{s}"})
-    rest = side("a").join(side("b"), "key").where("a > b and ca <> cb").where(plausible).select("a", "b").distinct()
-    more = confirm(base, rest, threshold)
-    return components(links.unionByName(more)).withColumnRenamed("id", "doc_id")
+    rest = stored(at.join(split, "key", "left_semi"), "split-buckets")
+    return components(links.unionByName(compare_rest(rest, sets, threshold))).withColumnRenamed("id", "doc_id")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:

@@ -137,3 +137,12 @@ def quality_rules(docs: DataFrame, carry: list[str] | None = None, support: floa
     odd = (F.col("n") >= least) & (F.col("distance") > limit)
     return judged.select(*out, *made, "base_failed", "distance",
                          (~F.col("base_failed") & ~F.coalesce(odd, F.lit(False))).alias("kept"))
+
+
+def keep_good(docs: DataFrame, **parameters) -> DataFrame:
+    """``docs`` without the rows that the quality rules reject. Verdicts are joined by two hashes of all
+    that they depend on, so equal rows share theirs; no text is stored."""
+    keys = {"row__": F.xxhash64("doc_id", "text", "lang", "source"), "text__": F.xxhash64("text")}
+    verdicts = quality_rules(docs.select("doc_id", "text", "lang", "source", *[c.alias(k) for k, c in keys.items()]), carry=list(keys), **parameters)
+    gone = verdicts.where("not kept").select(*keys).distinct()
+    return docs.withColumns(keys).join(gone, list(keys), "left_anti").select(*docs.columns)
