@@ -22,7 +22,7 @@ ORACLE_SQL = None
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
     configure(spark)
-    return quality.quality_rules(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
+    return quality.keep_good(docs.select(*COLUMNS))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
