@@ -16,7 +16,16 @@ SPACE[[32, *range(9, 14)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 VALUES = np.random.default_rng(1).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
-_powers: dict[int, np.ndarray] = {}
+
+
+class _Held(dict):
+    """A cache that travels to other processes empty."""
+
+    def __reduce__(self):
+        return _Held, ()
+
+
+_powers = _Held()
 
 
 def powers(base: int, n: int) -> np.ndarray:
