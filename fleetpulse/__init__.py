@@ -25,7 +25,7 @@ from fleetpulse.operators.rates import (
 from fleetpulse.operators.rollups import (
     bandwidth, busiest_cores, coverage_gate, coverage_tuples, distinct_names, expected_active, first_n_series, flow_health,
     kind_unit_shapes, label_facets, latest_snapshot, metric_catalog, page, panel_stats, peak_by_label, pivot_percentiles,
-    port_retransmits, port_rtt, queue_balance, queue_cv, register_views, row_caps, session_overview, sum_of_rates_by_label,
+    port_retransmits, port_rtt, queue_balance, queue_cv, register_views, session_overview, sum_of_rates_by_label,
     sum_over_label, time_bucket_max)
 from fleetpulse.operators.spacing import kept_chain, spaced_rows
 from fleetpulse.operators.spans import (

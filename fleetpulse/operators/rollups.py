@@ -146,8 +146,8 @@ def sum_over_label(df: DataFrame, label: str, labels: str = "labels", value: str
 
 
 def panel_stats(df: DataFrame, value: str = "value", keys: Sequence[str] = SERIES) -> DataFrame:
-    """Per series: last non-null value, extremes and the extent of the time axis."""
-    known = F.when(F.col(value).isNotNull(), F.col("ts"))
+    """Per series: last non-null value (of equal times the largest), extremes and the extent of the time axis."""
+    known = F.when(F.col(value).isNotNull(), F.struct("ts", value))
     return df.groupBy(*keys).agg(
         F.max_by(value, known).alias("last"), F.max(value).alias("max"), F.min(value).alias("min"),
         F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
@@ -168,10 +168,10 @@ def coverage_gate(golden: DataFrame, live: DataFrame, strict: bool = False) -> D
 
 
 def latest_snapshot(df: DataFrame, at, keys: Sequence[str] = SERIES, value: str = "raw") -> DataFrame:
-    """Newest raw value per series at an instant."""
+    """Newest raw value per series at an instant; of equal times the largest."""
     at = F.lit(at).cast("timestamp")
     return (df.where(F.col("ts") <= at).groupBy(*keys)
-            .agg(F.max_by(value, "ts").alias(value), F.max("ts").alias("last_update"))
+            .agg(F.max_by(value, F.struct("ts", value)).alias(value), F.max("ts").alias("last_update"))
             .withColumn("captured", at))
 
 
@@ -207,21 +207,22 @@ def peak_by_label(df: DataFrame, label: str = "queue", column: str = "p99", tags
 
 
 def sum_of_rates_by_label(df: DataFrame, label: str, range="5m", at=None, every=None, labels: str = "labels",
-                          keys: Sequence[str] = SERIES, value: str = "raw") -> DataFrame:
-    """Sum of instant rates over all series sharing a label value."""
-    rates = irate(df, range, at, every, [*keys, label], value) if label in df.columns else irate(
-        df.withColumn(label, tag(label, labels)), range, at, every, [*keys, label], value)
+                          keys: Sequence[str] = SERIES, value: str = "raw", tie: Sequence[str] | None = None) -> DataFrame:
+    """Sum of instant rates over all series sharing a label value; equal times are ordered by ``tie``, or the value."""
+    tie = [value] if tie is None else list(tie)
+    rates = irate(df, range, at, every, [*keys, label], value, tie) if label in df.columns else irate(
+        df.withColumn(label, tag(label, labels)), range, at, every, [*keys, label], value, tie)
     return rates.groupBy("at", label).agg(F.sum("rate").alias("rate"))
 
 
-def first_n_series(df: DataFrame, n: int = 8, cap: int = 20) -> DataFrame:
+def first_n_series(df: DataFrame, n: int = 8) -> DataFrame:
     """The series initially shown per metric: of its first shape, the first ``n`` to appear."""
     series = df.groupBy(*SERIES, "kind", "unit").agg(F.min("ts").alias("first_ts"))
     shape = (series.groupBy("name").agg(F.min_by(F.struct("kind", "unit"), F.struct("first_ts", "labels_key")).alias("s"))
              .select("name", "s.*"))
     order = Window.partitionBy("name").orderBy("first_ts", "labels_key")
     return (series.join(shape, ["name", "kind", "unit"])
-            .withColumn("position", F.row_number().over(order)).where(F.col("position") <= min(n, cap)))
+            .withColumn("position", F.row_number().over(order)).where(F.col("position") <= n))
 
 
 def distinct_names(df: DataFrame, substring: str = "") -> DataFrame:
@@ -251,22 +252,6 @@ def page(df: DataFrame, number: int, size: int = 50, order: Sequence[str] = ("ts
             .drop(CHUNK, "__begin", "__first"))
 
 
-def row_caps(df: DataFrame, cap: int | None = None, mode: str = "cut") -> DataFrame:
-    """``cut`` to ``cap`` rows, or ``reject`` a larger input with an error. No cap by default."""
-    if cap is None:
-        return df
-    if mode == "cut":
-        return df.limit(cap)
-    if mode != "reject":
-        raise ValueError("mode must be 'cut' or 'reject'")
-    size = df.agg(F.count(F.lit(1)).alias("__n")).select(
-        F.when(F.col("__n") > cap, F.raise_error(F.concat(
-            F.lit(f"more than {cap} rows: "), F.col("__n").cast("string"))).cast("boolean"))
-        .otherwise(F.lit(True)).alias("__ok"))
-    # One row, so this is a broadcast of a single boolean.
-    return df.crossJoin(F.broadcast(size)).where("__ok").drop("__ok")
-
-
 def register_views(spark, **frames: DataFrame) -> None:
     """Make the telemetry tables available to ``spark.sql``."""
     for name, frame in frames.items():

@@ -167,14 +167,6 @@ def page_clamped(spark, sf):
     return A.page(obs_gauge(spark, sf), 10**9, 50, chunk="1 day").select(F.unix_micros("ts").alias("us"), "labels_key", "raw", F.col("row").cast("bigint").alias("row"))
 
 
-@plan("row_caps", f"""WITH {OBS_GAUGE} SELECT least(count(*), 700) AS cut, count(*) AS whole FROM obs""")
-def row_caps(spark, sf):
-    obs = obs_gauge(spark, sf)
-    cut = A.row_caps(obs.select("event_id"), 700).agg(F.count(F.lit(1)).alias("cut"))
-    whole = A.row_caps(obs.select("event_id"), 10**9, "reject").agg(F.count(F.lit(1)).alias("whole"))
-    return cut.crossJoin(whole)
-
-
 @plan("distinct_names", """SELECT DISTINCT p_name || '/' || p_type AS name FROM part WHERE contains(lower(p_name || '/' || p_type), 'ring/e')""")
 def distinct_names(spark, sf):
     rows = table(spark, sf, "part").select(F.concat("p_name", F.lit("/"), "p_type").alias("name"))

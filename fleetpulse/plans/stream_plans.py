@@ -120,6 +120,6 @@ def export_stream(spark, sf):
     def sink(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    S.export_stream(event_stream(spark, sf).select("event_type", "raw"), sink, drain=True).awaitTermination()
+    S.export_stream(event_stream(spark, sf).select("event_type", "raw"), sink, checkpoint=scratch(spark, "export-checkpoint"), drain=True).awaitTermination()
     return (spark.read.schema("event_type string, raw bigint, batch int").parquet(path)
             .groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("raw").alias("total")))

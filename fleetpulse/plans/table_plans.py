@@ -113,10 +113,10 @@ def export_json(spark, sf):
 
 @plan("csv_rows", f"""WITH {SAMPLES} SELECT CAST(us // 1000 AS VARCHAR) AS ts_unix_ms, strftime(make_timestamp(us), '%Y-%m-%d %H:%M:%S.000') AS time_utc,
 '''=' || name AS name, {_LABELS} AS labels_json, {_KIND_SQL} AS kind, 'bytes' AS unit, CAST(raw AS VARCHAR) AS raw, CAST(p50 AS VARCHAR) AS p50,
-CAST(p90 AS VARCHAR) AS p90, CAST(p99 AS VARCHAR) AS p99, '' AS p999 FROM samples""")
+CAST(p90 AS VARCHAR) AS p90, CAST(p99 AS VARCHAR) AS p99, CAST(p999 AS VARCHAR) AS p999 FROM samples""")
 def csv_rows(spark, sf):
     rows = rollup_row(snapshots(spark, sf)).withColumns({
-        "labels_key": encode_labels("labels"), "name": F.concat(F.lit("="), "name"), "p999": F.lit(None).cast("bigint")})
+        "labels_key": encode_labels("labels"), "name": F.concat(F.lit("="), "name")})
     return E.csv_rows(rows)
 
 

@@ -6,11 +6,14 @@ of one capture meet in a small aggregate.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fleetpulse.functions.text import encode_labels
 from fleetpulse.schema import U64
 
+U64_MAX = Decimal(2**64 - 1)
 _U64 = r"^\+?\d{1,20}$"
 
 # Fields of a CPU line and of an interface line.
@@ -31,7 +34,15 @@ def read_captures(spark: SparkSession, path: str, pattern: str = r"([^/]+)/(\d+)
 
 
 def _uint(c: Column) -> Column:
-    return F.when(c.rlike(_U64), c.try_cast("decimal(20,0)"))
+    """An unsigned 64-bit number; null for any other text."""
+    number = F.when(c.rlike(_U64), c.try_cast("decimal(20,0)"))
+    return F.when(number <= F.lit(U64_MAX), number)
+
+
+def _scaled(number: Column, factor: int) -> Column:
+    """A product that stays within 64 bits; null where it would not."""
+    wide = (number.cast("decimal(20,0)") * F.lit(Decimal(factor))).cast("decimal(38,0)")
+    return F.when(wide <= F.lit(U64_MAX), wide)
 
 
 def _words(c: Column) -> Column:
@@ -86,7 +97,7 @@ def ingest_kv_text(lines: DataFrame) -> DataFrame:
     key = F.trim(F.split("value", ":")[0])
     rest = F.trim(F.try_element_at(F.split("value", ":"), F.lit(2)))
     number = _uint(F.split(rest, r"\s+")[0])
-    raw = F.when(F.endswith(rest, F.lit("kB")), number * F.lit(1024)).otherwise(number)
+    raw = F.when(F.endswith(rest, F.lit("kB")), _scaled(number, 1024)).otherwise(number)
     rows = lines.where(F.col("value").contains(":") & ~key.isin(*IGNORED_MEMORY_KEYS))
     return _observation(rows, F.concat(F.lit("memory/"), F.lower(key)), raw, "gauge", "bytes")
 
@@ -158,7 +169,7 @@ def ingest_disk_text(lines: DataFrame) -> DataFrame:
     rows = (lines.where(F.size(words) >= 10).select("host", "ts", words[2].alias("device"), numbers.alias("__n"))
             .where(F.size("__n") >= 7))
     cells = F.array(*[F.struct(F.lit(f"disk/{f}").alias("name"),
-                               (F.element_at("__n", i + 1) * F.lit(512)).cast(U64).alias("raw"))
+                               _scaled(F.element_at("__n", i + 1), 512).cast(U64).alias("raw"))
                       for f, i in DISK_FIELDS.items()])
     rows = rows.select("host", "ts", "device", F.explode(cells).alias("__c"))
     return _observation(rows, F.col("__c.name"), F.col("__c.raw"), "counter", "bytes",

@@ -117,12 +117,12 @@ def stream_distinct(df: DataFrame, columns: Sequence[str], delay="60 s") -> Data
     return _late(df, delay).dropDuplicatesWithinWatermark(list(columns))
 
 
-def export_stream(df: DataFrame, sink: Callable[[DataFrame, int], None], every="10 seconds", checkpoint: str | None = None,
+def export_stream(df: DataFrame, sink: Callable[[DataFrame, int], None], every="10 seconds", *, checkpoint: str,
                   name: str = "export", drain: bool = False, on_failure: Callable[[int, Exception], None] | None = None) -> StreamingQuery:
     """Push a stream to ``sink`` on its own cadence.
 
     A failing sink is reported to ``on_failure`` and stops the query; the batch
-    is replayed from the checkpoint on restart, so nothing is lost silently.
+    is replayed from the checkpoint on restart, so nothing is lost or exported again silently.
     ``drain`` exports everything available and ends.
     """
     def push(batch: DataFrame, batch_id: int) -> None:
@@ -133,8 +133,7 @@ def export_stream(df: DataFrame, sink: Callable[[DataFrame, int], None], every="
                 on_failure(batch_id, error)
             raise
 
-    spark = df.sparkSession
-    writer = df.writeStream.queryName(name).option("checkpointLocation", checkpoint or scratch(spark, name)).foreachBatch(push)
+    writer = df.writeStream.queryName(name).option("checkpointLocation", checkpoint).foreachBatch(push)
     writer = writer.trigger(availableNow=True) if drain else writer.trigger(processingTime=every)
     return writer.start()
 

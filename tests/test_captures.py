@@ -1,5 +1,7 @@
 from pyspark.sql import functions as F
 
+from fleetpulse.sources.captures import ingest_disk_text
+
 from fleetpulse import (
     exposition_tuples, field_map, ingest_entity_table_text, ingest_exposition_text, ingest_header_pair_text, ingest_kv_text, ingest_matrix_text,
     ingest_pair_text, ingest_pressure_load_text)
@@ -34,6 +36,15 @@ def values(df):
     return {(r.name, *sorted(r.labels.items())): int(r.raw) for r in df.collect()}
 
 
+
+def test_values_beyond_64_bits_give_no_row(spark):
+    big = spark.createDataFrame([("h", None, "meminfo", x) for x in ("A: 18446744073709551615 kB", "B: 99999999999999999999", "C: 18446744073709551615", "D: 2 kB")],
+                                "host string, ts timestamp, path string, value string")
+    assert {r.name: int(r.raw) for r in ingest_kv_text(big).collect()} == {"memory/c": 2**64 - 1, "memory/d": 2048}
+    disk = spark.createDataFrame([("h", None, "diskstats", f"8 0 sda 1 2 {2**64 - 1} 4 5 6 3 8")], "host string, ts timestamp, path string, value string")
+    assert [(r.name, int(r.raw)) for r in ingest_disk_text(disk).collect()] == [("disk/write/bytes", 1536)]
+
+
 def test_cpu_lines(spark):
     got = values(ingest_entity_table_text(lines(spark, STAT, "proc_stat")))
     assert len(got) == 3 * 8

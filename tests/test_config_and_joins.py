@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from fleetpulse import (
     alias_fold, annotate, artifact_flags, attribute_changes, busiest_cores, change_note, change_tags, config_diff, config_values, coverage_gate,
     coverage_tuples, enrich_context, exclude_virtual, expected_active, field_mapping, flatten_config, keep_patterns, label_filter, multipath_head,
-    name_filter, normalize_mask, page, queue_stat_fields, row_caps, sanitize_name, series_key, service_port)
+    name_filter, normalize_mask, page, queue_stat_fields, sanitize_name, series_key, service_port)
 from fleetpulse.schema import CONFIG_STATE
 
 
@@ -98,13 +98,6 @@ def test_coverage_gate(spark):
         coverage_gate(golden, golden.where("name = 'a'"), strict=True).collect()
 
 
-def test_row_caps(spark):
-    df = spark.range(10)
-    assert row_caps(df, 3).count() == 3 and row_caps(df).count() == 10 and row_caps(df, 10, "reject").count() == 10
-    with pytest.raises(Exception, match="more than 9 rows"):
-        row_caps(df, 9, "reject").collect()
-
-
 def test_page_is_clamped_and_ordered(spark):
     df = spark.range(120).select(F.timestamp_micros(F.col("id") * 700_000).alias("ts"), F.lit("{}").alias("labels_key"), "id", F.col("id").alias("raw"))
     assert [r.id for r in page(df, 1, 50, chunk="9 s").orderBy("row").collect()] == list(range(50, 100))
