@@ -15,10 +15,19 @@ from fleetpulse.session import scratch
 from fleetpulse.streaming import streams as S
 
 
-def event_stream(spark, sf):
-    """The events table as a stream of files."""
-    schema = table(spark, sf, "events").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+def event_stream(spark, sf, closed=False):
+    """The events table as a stream of files; ``closed``: with one row of user -1 a hundred days
+    after the newest event, which moves the watermark past all others."""
+    events = table(spark, sf, "events")
+    rows = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    if closed:
+        newest = events.agg((F.max("ts") + F.expr("INTERVAL 100 DAYS")).alias("ts"))
+        end = newest.select(*[F.col("ts").cast(f.dataType).alias("ts") if f.name == "ts" else
+                              F.lit({"user_id": -1, "event_id": 0, "event_type": "closing"}.get(f.name)).cast(f.dataType).alias(f.name)
+                              for f in events.schema])
+        folder = scratch(spark, "closing")
+        end.write.parquet(folder)
+        rows = rows.unionByName(spark.readStream.schema(end.schema).parquet(folder))
     labels = F.create_map(F.lit("event_type"), F.col("event_type"))
     return rows.withColumns({"ts": F.col("ts").cast("timestamp"), "name": F.lit("event/value"), "labels_key": encode_labels(labels),
                              "raw": cents()})
@@ -26,22 +35,20 @@ def event_stream(spark, sf):
 
 _WINDOWS = f"""w AS (SELECT event_type, unnest(range(us - us % {6 * HOUR_US} - {18 * HOUR_US}, us - us % {6 * HOUR_US} + 1, {6 * HOUR_US})) AS start_us, raw FROM obs),
 wb AS (SELECT event_type, start_us, {bound_sql('raw')} AS bound, count(*) AS c FROM w GROUP BY ALL),
-cm AS (SELECT *, sum(c) OVER (PARTITION BY event_type, start_us ORDER BY bound) AS cum, sum(c) OVER (PARTITION BY event_type, start_us) AS n FROM wb),
-last AS (SELECT max(us) AS us FROM obs)"""
+cm AS (SELECT *, sum(c) OVER (PARTITION BY event_type, start_us ORDER BY bound) AS cum, sum(c) OVER (PARTITION BY event_type, start_us) AS n FROM wb)"""
 
 
 @plan("stream_window_percentiles", f"""WITH {OBS_GAUGE}, {_WINDOWS}
-SELECT event_type, start_us, CAST(max(n) AS BIGINT) AS total, {percentiles_sql()} FROM cm, last
-WHERE start_us + {24 * HOUR_US} <= (last.us // 1000 * 1000 - 60000000) GROUP BY event_type, start_us""")
+SELECT event_type, start_us, CAST(max(n) AS BIGINT) AS total, {percentiles_sql()} FROM cm GROUP BY event_type, start_us""")
 def stream_window_percentiles(spark, sf):
-    stream = S.stream_window_percentiles(event_stream(spark, sf), "24 hours", "6 hours", keys=["event_type"])
+    stream = S.stream_window_percentiles(event_stream(spark, sf, closed=True), "24 hours", "6 hours", keys=["event_type"])
     out, _ = S.run_to_table(stream, "window_percentiles")
     return out.select("event_type", F.unix_micros("window.start").alias("start_us"), "total", "p50", "p90", "p99", "p999")
 
 
 def _stream_counters(spark, sf):
     # Cumulative readings: the event number within the whole table, back to zero now and then.
-    return event_stream(spark, sf).withColumn("raw", F.col("event_id") % 997)
+    return event_stream(spark, sf, closed=True).withColumn("raw", F.col("event_id") % 997)
 
 
 _COUNTER_CHAIN = _chain_sql(HOUR_US, True).split("o AS (", 1)[1]
@@ -56,21 +63,21 @@ def stream_counter_rate(spark, sf):
                       F.col("rate").cast("bigint").alias("rate"))
 
 
-@plan("stream_expire", f"""WITH {OBS_GAUGE}, l AS (SELECT user_id, max(us) AS last FROM obs GROUP BY ALL), m AS (SELECT max(us) AS us FROM obs)
+@plan("stream_expire", f"""WITH {OBS_GAUGE}, l AS (SELECT user_id, max(us) AS last FROM obs GROUP BY ALL)
 SELECT user_id, us, 1 AS total, false AS expired FROM obs UNION ALL
 SELECT user_id, us + {36 * HOUR_US}, 0, true FROM (SELECT user_id, us, lead(us) OVER (PARTITION BY user_id ORDER BY us) AS next FROM obs) WHERE next - us > {36 * HOUR_US} UNION ALL
-SELECT user_id, last + {36 * HOUR_US}, 0, true FROM l, m WHERE (last + {36 * HOUR_US}) // 1000 + 1 <= m.us // 1000 - 60000""")
+SELECT user_id, last + {36 * HOUR_US}, 0, true FROM l""")
 def stream_expire(spark, sf):
     one = F.array(F.struct(F.col("raw").alias("bound"), F.lit(1).cast("bigint").alias("count")))
-    stream = S.stream_expire(event_stream(spark, sf).withColumn("buckets", one), "12 hours", "1 hour", ["user_id"])
+    stream = S.stream_expire(event_stream(spark, sf, closed=True).withColumn("buckets", one), "12 hours", "1 hour", ["user_id"])
     out, _ = S.run_to_table(stream, "expire")
-    return out.select("user_id", "us", "total", "expired")
+    return out.where("user_id >= 0").select("user_id", "us", "total", "expired")
 
 
 @plan("stream_state_durations", f"WITH {_STATES} SELECT cpu, span, state, entered_us, left_us, us FROM du")
 def stream_state_durations(spark, sf):
     n = F.col("event_id") % 3
-    rows = event_stream(spark, sf).select(
+    rows = event_stream(spark, sf, closed=True).select(
         (F.col("user_id") % 8).alias("cpu"), "ts", "event_id", F.when(F.col("user_id") % 2 == 0, "idle").otherwise("irq").alias("span"),
         F.when(n == 0, "leave").otherwise("enter").alias("action"), F.when(n == 1, "iowait").otherwise("idle").alias("state"))
     out, _ = S.run_to_table(S.stream_state_durations(rows, tie="event_id"), "state_durations")
@@ -80,7 +87,7 @@ def stream_state_durations(spark, sf):
 @plan("stream_paired_latency", f"WITH {_PAIRS} SELECT user_id, end_us, us, {bound_sql('us', 3)} AS bound FROM lat")
 def stream_paired_latency(spark, sf):
     action = F.element_at(F.create_map(*[F.lit(x) for kv in ACTION_OF_EVENT.items() for x in kv]), F.col("event_type"))
-    rows = event_stream(spark, sf).withColumn("action", action)
+    rows = event_stream(spark, sf, closed=True).withColumn("action", F.coalesce(action, F.lit("start")))
     out, _ = S.run_to_table(S.stream_paired_latency(rows, ["user_id"], tie="event_id"), "paired_latency")
     return out
 

@@ -1,8 +1,9 @@
 """State machines of the streaming operators: one small state per key.
 
-Rows of a key arrive in Arrow batches. A micro-batch is bounded by the source's
-rate limits; its rows of a key are put in order before the state advances. Rows
-older than the key's last processed row are late and skipped.
+Rows of a key wait in state until the watermark has passed them and are then
+applied in (us, tie) order, so the micro-batch a row arrives in makes no
+difference. Rows behind the watermark never reach a processor: Spark drops and
+counts them. State is what arrived within the delay, and the machine's own.
 """
 
 from __future__ import annotations
@@ -26,158 +27,211 @@ def _with_key(frame: pd.DataFrame, names: list[str], key: tuple) -> pd.DataFrame
     return frame
 
 
-class KeptChain(StatefulProcessor):
-    """Counter readings at least a gap apart, with the reading kept before each."""
+def _passed_ms(us: int) -> int:
+    """The first watermark that has passed a time."""
+    return -(-us // 1000)
+
+
+class InOrder(StatefulProcessor):
+    """Hold rows until the watermark passes them, then advance one state in event-time order.
+
+    ``advance`` gets the state (None at first) and the passed rows in order and gives the new
+    state (None to drop it) and output. ``deadline`` names the time at which a state ends
+    although no row comes, and ``lapse`` what that gives.
+    """
 
-    def __init__(self, keys: list[str], gap_us: int):
-        self.keys, self.gap = keys, gap_us
+    waits = "us bigint, tie bigint"
+    keeps = "us bigint"
+
+    def __init__(self, keys: list[str]):
+        self.keys = keys
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getValueState("kept", "us bigint, value bigint, seen bigint")
+        self.handle = handle
+        self.names = [field.split()[0] for field in self.waits.split(", ")]
+        self.waiting = handle.getListState("waiting", self.waits)
+        self.state = handle.getValueState("state", self.keeps)
+        self.due = handle.getValueState("due", "ms bigint")
 
     def handleInputRows(self, key, rows, timerValues):
-        frame = _ordered(rows, ["us", "tie"])
-        pt = pv = None
-        if self.kept.exists():
-            pt, pv, seen = self.kept.get()
-            frame = frame[frame["us"] >= seen].reset_index(drop=True)
-        if not len(frame):
-            return
-        t, v = frame["us"].to_numpy(np.int64), frame["value"].to_numpy(np.int64)
+        earliest = None
+        for frame in rows:
+            if not len(frame):
+                continue
+            self.waiting.appendList(list(frame[self.names].itertuples(index=False, name=None)))
+            first = int(frame["us"].min())
+            earliest = first if earliest is None else min(earliest, first)
+            out = self.at_once(frame)
+            if out is not None:
+                yield _with_key(out, self.keys, key)
+        if earliest is not None:
+            due = self.due.get()[0] if self.due.exists() else None
+            if due is None or _passed_ms(earliest) < due:
+                self._wake(due, _passed_ms(earliest))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        self.due.clear()
+        frame = pd.DataFrame(list(self.waiting.get()), columns=self.names)
+        ready = frame[frame["us"] <= passed].sort_values(["us", "tie"], kind="stable").reset_index(drop=True)
+        later = frame[frame["us"] > passed]
+        if len(ready):
+            if len(later):
+                self.waiting.put(list(later.itertuples(index=False, name=None)))
+            else:
+                self.waiting.clear()
+        state = tuple(self.state.get()) if self.state.exists() else None
+        outs = []
+        if len(ready):
+            state, out = self.advance(state, ready)
+            outs.append(out)
+        end = None if state is None else self.deadline(state)
+        if end is not None and end < passed:
+            outs.append(self.lapse(state))
+            state = end = None
+        if state is None:
+            self.state.clear()
+        else:
+            self.state.update(state)
+        wakes = [_passed_ms(int(later["us"].min()))] if len(later) else []
+        wakes += [] if end is None else [end // 1000 + 1]
+        if wakes:
+            self._wake(None, min(wakes))
+        for out in outs:
+            if out is not None and len(out):
+                yield _with_key(out, self.keys, key)
+
+    def _wake(self, old: int | None, ms: int) -> None:
+        if old is not None:
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(ms)
+        self.due.update((ms,))
+
+    def at_once(self, frame: pd.DataFrame) -> pd.DataFrame | None:
+        return None
+
+    def advance(self, state: tuple | None, rows: pd.DataFrame) -> tuple[tuple | None, pd.DataFrame | None]:
+        raise NotImplementedError
+
+    def deadline(self, state: tuple) -> int | None:
+        return None
+
+    def lapse(self, state: tuple) -> pd.DataFrame | None:
+        return None
+
+    def close(self) -> None:
+        pass
+
+
+class KeptChain(InOrder):
+    """Counter readings at least a gap apart, with the reading kept before each."""
+
+    waits = "us bigint, tie bigint, value bigint"
+    keeps = "us bigint, value bigint"
+
+    def __init__(self, keys: list[str], gap_us: int, forget_us: int | None = None):
+        super().__init__(keys)
+        self.gap, self.forget = gap_us, forget_us
+
+    def advance(self, state, rows):
+        t, v = rows["us"].to_numpy(np.int64), rows["value"].to_numpy(np.int64)
         following, i, chosen = _next_kept(t, v, self.gap), 0, []
+        pt, pv = state or (None, None)
         if pt is not None:
             reach = np.flatnonzero((t - pt >= self.gap) | (v < pv))
             i = int(reach[0]) if len(reach) else len(t)
         while i < len(t):
             chosen.append(i)
             i = int(following[i])
-        if chosen:
-            out = pd.DataFrame({"us": t[chosen], "value": v[chosen]})
-            out["prev_us"] = pd.array([pt, *t[chosen[:-1]].tolist()], dtype="Int64")
-            out["prev_value"] = pd.array([pv, *v[chosen[:-1]].tolist()], dtype="Int64")
-            pt, pv = int(t[chosen[-1]]), int(v[chosen[-1]])
-            yield _with_key(out, self.keys, key)
-        self.kept.update((pt, pv, int(t[-1])))
+        if not chosen:
+            return state, None
+        out = pd.DataFrame({"us": t[chosen], "value": v[chosen]})
+        out["prev_us"] = pd.array([pt, *t[chosen[:-1]].tolist()], dtype="Int64")
+        out["prev_value"] = pd.array([pv, *v[chosen[:-1]].tolist()], dtype="Int64")
+        return (int(t[chosen[-1]]), int(v[chosen[-1]])), out
 
-    def close(self) -> None:
-        pass
+    def deadline(self, state):
+        return None if self.forget is None else state[0] + self.forget
 
 
-class Expiry(StatefulProcessor):
+class Expiry(InOrder):
     """Pass readings on; when a series falls silent, one more row says so."""
 
+    waits = "us bigint, tie bigint"
+    keeps = "us bigint"
+
     def __init__(self, keys: list[str], stale_us: int):
-        self.keys, self.stale = keys, stale_us
+        super().__init__(keys)
+        self.stale = stale_us
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", "us bigint")
+    def _silent(self, times) -> pd.DataFrame:
+        return pd.DataFrame({"us": np.asarray(times, np.int64) + self.stale, "total": 0, "expired": True})
 
-    def _deadline_ms(self, us: int) -> int:
-        # Strictly older than the limit: the next whole millisecond.
-        return (us + self.stale) // 1000 + 1
+    def at_once(self, frame):
+        return pd.DataFrame({"us": frame["us"], "total": frame["total"], "expired": False})
 
-    def handleInputRows(self, key, rows, timerValues):
-        frame = _ordered(rows, ["us"])
-        times = frame["us"].to_numpy(np.int64)
-        newest = int(times[-1])
-        if self.last.exists():
-            before = self.last.get()[0]
-            self.handle.deleteTimer(self._deadline_ms(before))
-            newest = max(newest, before)
-            times = np.concatenate(([before], times))
-        self.last.update((newest,))
-        self.handle.registerTimer(self._deadline_ms(newest))
-        # A silence that ends within the batches at hand needs no timer.
-        silent = times[:-1][np.diff(times) > self.stale] + self.stale
-        out = pd.concat([pd.DataFrame({"us": frame["us"], "total": frame["total"], "expired": False}),
-                         pd.DataFrame({"us": silent, "total": 0, "expired": True})], ignore_index=True)
-        out["expired"] = out["expired"].astype(bool)
-        yield _with_key(out, self.keys, key)
+    def advance(self, state, rows):
+        times = rows["us"].to_numpy(np.int64)
+        times = times if state is None else np.concatenate((state, times))
+        return (int(times[-1]),), self._silent(times[:-1][np.diff(times) > self.stale])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if not self.last.exists():
-            return
-        us = self.last.get()[0]
-        if self._deadline_ms(us) > expiredTimerInfo.getExpiryTimeInMs():
-            return
-        self.last.clear()
-        yield _with_key(pd.DataFrame({"us": [us + self.stale], "total": [0], "expired": [True]}), self.keys, key)
+    def deadline(self, state):
+        return state[0] + self.stale
 
-    def close(self) -> None:
-        pass
+    def lapse(self, state):
+        return self._silent(state)
 
 
-class Durations(StatefulProcessor):
+class Durations(InOrder):
     """Time between an entry and the next leave, booked to the state named on entry."""
 
-    def __init__(self, keys: list[str]):
-        self.keys = keys
+    waits = "us bigint, tie bigint, action string, state string"
+    keeps = "us bigint, state string"
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.entered = handle.getValueState("entered", "us bigint, state string")
+    def __init__(self, keys: list[str], forget_us: int | None = None):
+        super().__init__(keys)
+        self.forget = forget_us
 
-    def handleInputRows(self, key, rows, timerValues):
-        frame = _ordered(rows, ["us", "tie"])
-        since, state = self.entered.get() if self.entered.exists() else (None, None)
+    def advance(self, state, rows):
         done = []
-        for us, action, name in zip(frame["us"].tolist(), frame["action"].tolist(), frame["state"].tolist(), strict=True):
+        for us, action, name in zip(rows["us"].tolist(), rows["action"].tolist(), rows["state"].tolist(), strict=True):
             if action == "enter":
-                since, state = us, name
+                state = (us, name)
             elif action == "leave":
-                if since is not None:
-                    done.append((state, since, us, max(us - since, 0)))
-                since = None
-        if since is None:
-            self.entered.clear()
-        else:
-            self.entered.update((since, state))
-        if done:
-            yield _with_key(pd.DataFrame(done, columns=["state", "entered_us", "left_us", "us"]), self.keys, key)
+                if state is not None:
+                    done.append((state[1], state[0], us, max(us - state[0], 0)))
+                state = None
+        return state, pd.DataFrame(done, columns=["state", "entered_us", "left_us", "us"])
 
-    def close(self) -> None:
-        pass
+    def deadline(self, state):
+        return None if self.forget is None else state[0] + self.forget
 
 
-class Pairs(StatefulProcessor):
+class Pairs(InOrder):
     """First pending start to the next end; a destroy, or silence, clears it."""
 
-    def __init__(self, keys: list[str], timeout_us: int | None):
-        self.keys, self.timeout = keys, timeout_us
+    waits = "us bigint, tie bigint, action string"
+    keeps = "us bigint"
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.pending = handle.getValueState("pending", "us bigint")
+    def __init__(self, keys: list[str], timeout_us: int | None):
+        super().__init__(keys)
+        self.timeout = timeout_us
 
-    def handleInputRows(self, key, rows, timerValues):
-        frame = _ordered(rows, ["us", "tie"])
-        since = before = self.pending.get()[0] if self.pending.exists() else None
-        done = []
-        for us, action in zip(frame["us"].tolist(), frame["action"].tolist(), strict=True):
+    def advance(self, state, rows):
+        since, done = None if state is None else state[0], []
+        for us, action in zip(rows["us"].tolist(), rows["action"].tolist(), strict=True):
+            if since is not None and self.timeout is not None and us > since + self.timeout:
+                since = None
             if action == "start":
                 since = us if since is None else since
             elif action in ("end", "destroy"):
-                if action == "end" and since is not None and since <= us:
+                if action == "end" and since is not None:
                     done.append((us, us - since))
                 since = None
-        if since != before:
-            if self.timeout is not None and before is not None:
-                self.handle.deleteTimer((before + self.timeout) // 1000 + 1)
-            if since is None:
-                self.pending.clear()
-            else:
-                self.pending.update((since,))
-                if self.timeout is not None:
-                    self.handle.registerTimer((since + self.timeout) // 1000 + 1)
-        if done:
-            yield _with_key(pd.DataFrame(done, columns=["end_us", "us"]), self.keys, key)
+        return None if since is None else (since,), pd.DataFrame(done, columns=["end_us", "us"])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.pending.clear()
-        return iter([])
-
-    def close(self) -> None:
-        pass
+    def deadline(self, state):
+        return None if self.timeout is None else state[0] + self.timeout
 
 
 class ConfigHistory(StatefulProcessor):

@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from fleetpulse.durations import interval_text, micros
@@ -28,8 +28,15 @@ def _schema(df: DataFrame, keys: Sequence[str], *fields: tuple[str, T.DataType])
     return T.StructType([df.schema[k] for k in keys] + [T.StructField(n, t) for n, t in fields])
 
 
+def _tie(tie: str | None, otherwise: Column | None = None) -> Column:
+    """What orders equal times; a null comes first, as in batch."""
+    if tie is None:
+        return (F.lit(0) if otherwise is None else otherwise).cast("bigint").alias("tie")
+    return F.coalesce(F.col(tie).cast("bigint"), F.lit(-(2**63)).cast("bigint")).alias("tie")
+
+
 def _late(df: DataFrame, delay) -> DataFrame:
-    return df.withWatermark("ts", interval_text(delay))
+    return df.where("ts is not null").withWatermark("ts", interval_text(delay))
 
 
 def stream_window_percentiles(df: DataFrame, window="60 s", step="10 s", delay="60 s", keys: Sequence[str] = SERIES,
@@ -53,46 +60,55 @@ def stream_window_percentiles(df: DataFrame, window="60 s", step="10 s", delay="
 
 
 def stream_counter_rate(df: DataFrame, min_dt=0.005, keys: Sequence[str] = SERIES, value: str = "raw",
-                        tie: str | None = None, delay="60 s") -> DataFrame:
-    """Counter rates with the last kept reading per series carried across micro-batches."""
+                        tie: str | None = None, delay="60 s", forget=None) -> DataFrame:
+    """Counter rates with the last kept reading per series carried across micro-batches.
+
+    A null reading is none. A reading takes effect when the watermark passes it, in event-time
+    order whatever batch it came in. ``forget`` drops the last reading of a series silent for that long (default: never).
+    """
     keys = list(keys)
     rows = _late(df, delay).select(*keys, "ts", F.unix_micros("ts").alias("us"),
-                                   (F.col(tie) if tie else F.lit(0)).cast("bigint").alias("tie"),
-                                   ordered_long(value).alias("value"))
+                                   _tie(tie, ordered_long(value)), ordered_long(value).alias("value")).where("value is not null")
     long = T.LongType()
     out = _schema(rows, keys, ("us", long), ("value", long), ("prev_us", long), ("prev_value", long))
     kept = rows.groupBy(*keys).transformWithStateInPandas(
-        KeptChain(keys, micros(min_dt)), out, "append", "none")
+        KeptChain(keys, micros(min_dt), None if forget is None else micros(forget)), out, "append", "eventTime")
     return rates_of_chain(kept, keys)
 
 
 def stream_expire(df: DataFrame, interval="100 ms", slice="100 ms", keys: Sequence[str] = SERIES,
                   buckets: str = "buckets", delay="60 s") -> DataFrame:
-    """Totals of live distributions, and one empty row when a series falls silent."""
+    """Totals of live distributions, and one empty row when a series falls silent.
+
+    Totals come at once; a silence shows when the watermark has passed it.
+    """
     keys = list(keys)
     limit = max(3 * micros(interval), 10 * micros(slice))
-    rows = _late(df, delay).select(*keys, "ts", F.unix_micros("ts").alias("us"), event_total(buckets).cast("bigint").alias("total"))
+    rows = _late(df, delay).select(*keys, "ts", F.unix_micros("ts").alias("us"), F.lit(0).cast("bigint").alias("tie"),
+                                   event_total(buckets).cast("bigint").alias("total"))
     out = _schema(rows, keys, ("us", T.LongType()), ("total", T.LongType()), ("expired", T.BooleanType()))
     return rows.groupBy(*keys).transformWithStateInPandas(Expiry(keys, limit), out, "append", "eventTime")
 
 
-def stream_state_durations(df: DataFrame, entity: Sequence[str] = ("cpu",), tie: str | None = None, delay="60 s") -> DataFrame:
+def stream_state_durations(df: DataFrame, entity: Sequence[str] = ("cpu",), tie: str | None = None, delay="60 s", forget=None) -> DataFrame:
+    """Completed stays, in event-time order; ``forget`` drops an entry never left after that long (default: never)."""
     keys = [*entity, "span"]
     rows = _late(df, delay).select(*keys, "ts", F.unix_micros("ts").alias("us"),
-                                   (F.col(tie) if tie else F.lit(0)).cast("bigint").alias("tie"), "action", "state")
+                                   _tie(tie), "action", "state")
     long = T.LongType()
     out = _schema(rows, keys, ("state", T.StringType()), ("entered_us", long), ("left_us", long), ("us", long))
-    return rows.groupBy(*keys).transformWithStateInPandas(Durations(keys), out, "append", "none")
+    return rows.groupBy(*keys).transformWithStateInPandas(
+        Durations(keys, None if forget is None else micros(forget)), out, "append", "eventTime")
 
 
 def stream_paired_latency(df: DataFrame, keys: Sequence[str] = ("sock",), tie: str | None = None, timeout=None,
                           delay="60 s") -> DataFrame:
     keys = list(keys)
     rows = _late(df, delay).where(F.col("action").isin("start", "end", "destroy")).select(
-        *keys, "ts", F.unix_micros("ts").alias("us"), (F.col(tie) if tie else F.lit(0)).cast("bigint").alias("tie"), "action")
+        *keys, "ts", F.unix_micros("ts").alias("us"), _tie(tie), "action")
     out = _schema(rows, keys, ("end_us", T.LongType()), ("us", T.LongType()))
     done = rows.groupBy(*keys).transformWithStateInPandas(
-        Pairs(keys, None if timeout is None else micros(timeout)), out, "append", "none" if timeout is None else "eventTime")
+        Pairs(keys, None if timeout is None else micros(timeout)), out, "append", "eventTime")
     return done.withColumn("bound", h2_bound("us", KERNEL_GROUPING, 52))
 
 
