@@ -71,6 +71,9 @@ def streams(docs: DataFrame, targets: DataFrame, block: int, seed: int, chunk_do
             .withColumn("start", F.col("chunk_start") + F.col("inner")).drop("chunk", "o", "docs", "inner", "chunk_start"))
 
 
+TASK_SHARDS = 16
+
+
 def slots(targets: DataFrame, block: int, slots_per_shard: int, seed: int) -> DataFrame:
     """One row per slot of the mix: shard, s, t (its number in the source), block index, pass."""
     spark = targets.sparkSession
@@ -87,7 +90,9 @@ def slots(targets: DataFrame, block: int, slots_per_shard: int, seed: int) -> Da
     drawn = drawn.withColumn("s", F.coalesce(F.get(above, F.lit(0))["s"], F.element_at("edges", -1)["s"]))
     counts = drawn.groupBy("shard", "s").agg(F.count("*").alias("n"))
     first = F.coalesce(F.sum("n").over(Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbered = counts.withColumn("first", first).select("shard", "s", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("t"))
+    # The counts are few rows that stand for many slots: deal them by the slots they make, not by their bytes.
+    dealt = counts.withColumn("first", first).repartition(-(-shards // TASK_SHARDS), "shard")
+    numbered = dealt.select("shard", "s", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("t"))
     figures = targets.select("s", F.ceil(F.col("source_size") / block).alias("blocks"), F.ceil(F.col("target") / F.col("source_size")).alias("passes"))
     numbered = numbered.join(figures, "s").where(F.col("t") < F.col("passes") * F.col("blocks"))
     turn = F.floor(F.col("t") / F.col("blocks"))
