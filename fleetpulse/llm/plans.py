@@ -26,6 +26,35 @@ def query(sql: str | None = None):
     return add
 
 
+#: op4 in SQL: sets of shingles, one row per different set, links by shared shingles, and reachability.
+NEAR_DUPLICATES = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)])) END AS shingles FROM w),
+classes AS (SELECT min(doc_id) AS a, shingles, len(shingles) AS n FROM sets WHERE len(shingles) > 0 GROUP BY shingles),
+members AS (SELECT doc_id, a FROM sets JOIN classes USING (shingles)),
+single AS (SELECT a, n, unnest(shingles) AS shingle FROM classes),
+pairs AS (SELECT x.a, y.a AS b, count(*) AS k, any_value(x.n + y.n) AS n FROM single x JOIN single y ON x.shingle = y.shingle AND x.a <> y.a GROUP BY x.a, y.a),
+links AS (SELECT a, b FROM pairs WHERE 100 * k >= 75 * (n - k)),
+reach AS (SELECT a, a AS b FROM classes UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least_of AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles, coalesce(component_id, s.doc_id) AS component_id,
+    coalesce(component_id, s.doc_id) = s.doc_id AS kept
+FROM sets s LEFT JOIN members m ON s.doc_id = m.doc_id LEFT JOIN least_of l ON m.a = l.a"""
+
+_ESCAPED = "replace(replace(replace(replace(replace({0}, '\\', '\\\\'), '<s>', '<\\s>'), '[INST]', '[\\INST]'), '[/INST]', '[\\/INST]'), '</s>', '<\\/s>')"
+#: op6 in SQL: turns in order, and the lengths of their escaped parts with the template's marks.
+CHATS = f"""WITH r AS (SELECT conv_id, turn, role AS r0, text AS t0 FROM conversations
+    UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+m AS (SELECT *, coalesce(r0, '') AS role, coalesce(t0, '') AS text FROM r),
+c AS (SELECT conv_id, count(*) AS n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, r0 NULLS FIRST, t0 NULLS FIRST) AS turns,
+    coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, t0 NULLS FIRST), '') AS loss,
+    3 + sum(length('[INST][/INST]</s>') + length({_ESCAPED.format('role')}) + length({_ESCAPED.format('text')})) AS chars FROM m GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,
+    CAST(chars AS BIGINT) AS formatted_chars FROM c"""
+
+
 def crc32_text(text):
     return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
 
@@ -48,7 +77,7 @@ def op3_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_passages(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "contaminated", "items")
 
 
-@query()
+@query(NEAR_DUPLICATES)
 def op4_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -63,7 +92,7 @@ def op5_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.slots(digests, offsets).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-@query()
+@query(CHATS)
 def op6_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
