@@ -21,7 +21,7 @@ from fleetpulse.operators.histograms import (
 from fleetpulse.operators.joins import (
     alias_fold, annotate, attribute_changes, before_after, enrich_context, multipath_head, sources_side_by_side, stamp_changes)
 from fleetpulse.operators.rates import (
-    counter_rate, entity_delta, irate, layout_guard, multiplex_scale, queue_delta, raw_rate)
+    counter_rate, entity_delta, irate, layout_guard, multiplex_scale, queue_delta, queue_delta_guarded, raw_rate)
 from fleetpulse.operators.rollups import (
     bandwidth, busiest_cores, coverage_gate, coverage_tuples, distinct_names, expected_active, first_n_series, flow_health,
     kind_unit_shapes, label_facets, latest_snapshot, metric_catalog, page, panel_stats, peak_by_label, pivot_percentiles,

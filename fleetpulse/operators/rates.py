@@ -134,6 +134,19 @@ def layout_guard(df: DataFrame, keys: Sequence[str] = ("iface",), tick: str = "t
     return df.join(stable, [*keys, tick], "left_semi")
 
 
+def queue_delta_guarded(df: DataFrame, keys: Sequence[str] = ("iface",), queue: Sequence[str] = ("queue",), tick: str = "ts",
+                        value: str = "value", chunk=DEFAULT_CHUNK) -> DataFrame:
+    """Increase per queue under a layout guard: a change of the number of statistics (and the first snapshot)
+    drops its snapshot and forgets all baselines of its interface, so the next snapshot has first sights only."""
+    keys = list(keys)
+    sizes = df.groupBy(*keys, tick).agg(F.count(F.lit(1)).alias("__n"))
+    changed = F.coalesce(F.col("__n") != F.col("__pn"), F.lit(True)).cast("bigint")
+    layouts = running_total(with_previous(sizes, keys, [tick], {"__pn": "__n"}, chunk).withColumn("__changed", changed),
+                            keys, [tick], "__changed", "__layout", chunk)
+    stable = layouts.where(F.col("__changed") == 0).select(*keys, tick, "__layout")
+    return queue_delta(df.join(stable, [*keys, tick]), [*keys, *queue, "__layout"], tick, value, chunk).drop("__layout")
+
+
 def irate(df: DataFrame, range="5m", at=None, every=None, keys: Sequence[str] = SERIES,
           value: str = "raw", tie: Sequence[str] = ()) -> DataFrame:
     """Instant rate from the last two points within ``range`` of each evaluation instant.

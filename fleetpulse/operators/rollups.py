@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from fleetpulse.durations import micros
 from fleetpulse.functions.network import service_port, to_gbps
 from fleetpulse.functions.text import encode_labels
-from fleetpulse.operators.chunks import CHUNK, DEFAULT_CHUNK, chunk_of, running_total
+from fleetpulse.operators.chunks import CHUNK, DEFAULT_CHUNK, chunk_of, running_total, with_previous
 from fleetpulse.operators.filters import label_filter, name_filter
 from fleetpulse.operators.rates import entity_delta, irate
 from fleetpulse.schema import SERIES
@@ -182,12 +182,26 @@ def connection_ports(df: DataFrame, floor: int = 32768) -> DataFrame:
 
 
 def port_retransmits(df: DataFrame, floor: int = 32768, chunk=10_000, by: Sequence[str] = ()) -> DataFrame:
-    """Running retransmit total per service port, from each connection's increases."""
+    """Running retransmit total per service port, from each connection's increases.
+
+    A port appears once it has retransmitted, and from then on at every tick of ``df`` (within
+    ``by``), whether a connection of it is seen or not: at most ports x ticks rows.
+    """
+    by = list(by)
+    scope, port = [*by, "__scope"], [*by, "port"]
+    # Ticks are numbered within their scope, so that gaps are sequences of numbers.
+    ticks = running_total(df.select(*by, F.col("tick").cast("bigint").alias("tick")).distinct().withColumns({"__scope": F.lit(0), "__one": F.lit(1).cast("bigint")}),
+                          scope, ["tick"], "__one", "__no", chunk).select(*by, "tick", "__no")
     deltas = entity_delta(connection_ports(df, floor), [*by, "inode"], "tick", "total_retrans", "port", chunk)
-    ticks = deltas.groupBy(*by, "port", "tick").agg(F.sum("delta").alias("delta"))
-    # A port appears once it has retransmitted, and from then on at every tick it is seen.
-    return (running_total(ticks, [*by, "port"], ["tick"], "delta", "total", chunk)
-            .where(F.col("total") > 0).select(*by, "port", "tick", "total"))
+    rises = deltas.groupBy(*port, "tick").agg(F.sum("delta").alias("delta")).where(F.col("delta") > 0)
+    totals = running_total(rises, port, ["tick"], "delta", "total", chunk).join(ticks, [*by, "tick"])
+    # A total holds until the next rise of its port, the last one until the last tick of its scope.
+    ends = ticks.groupBy(*by).agg(F.max("__no").alias("__end"))
+    ended = totals.join(ends, by) if by else totals.withColumn("__end", ends.scalar())
+    held = with_previous(ended, port, ["tick"], {"__next": "__no"}, chunk, ahead=True)
+    upto = F.coalesce(F.col("__next") - 1, F.col("__end"))
+    dense = held.select(*port, "total", F.explode(F.sequence("__no", upto)).alias("__no"))
+    return dense.join(ticks, [*by, "__no"]).select(*port, "tick", "total")
 
 
 def port_rtt(df: DataFrame, floor: int = 32768) -> DataFrame:

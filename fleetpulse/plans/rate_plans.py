@@ -87,7 +87,8 @@ def entity_delta_observed(spark, sf):
 
 
 @plan("port_retransmits", f"""WITH {_ENTITY}, t AS (SELECT port, tick, sum(delta) AS delta FROM d GROUP BY ALL),
-r AS (SELECT port, tick, CAST(sum(delta) OVER (PARTITION BY port ORDER BY tick) AS BIGINT) AS total FROM t)
+x AS (SELECT p.port, k.tick FROM (SELECT DISTINCT port FROM t) p, (SELECT DISTINCT tick FROM conns) k),
+r AS (SELECT x.port, x.tick, CAST(sum(coalesce(delta, 0)) OVER (PARTITION BY x.port ORDER BY x.tick) AS BIGINT) AS total FROM x LEFT JOIN t ON x.port = t.port AND x.tick = t.tick)
 SELECT port, tick, total FROM r WHERE total > 0""")
 def port_retransmit_totals(spark, sf):
     return port_retransmits(connections(spark, sf), chunk=30)
@@ -107,6 +108,16 @@ def queue_delta(spark, sf):
     return R.queue_delta(queue_obs(spark, sf), tick="tick", chunk=24).select("iface", "queue", "tick", "delta")
 
 
+@plan("queue_delta_guarded", f"""WITH {QUEUE_OBS}, n AS (SELECT iface, tick, count(*) AS n FROM queues GROUP BY ALL),
+s AS (SELECT iface, tick, CAST(n IS DISTINCT FROM lag(n) OVER (PARTITION BY iface ORDER BY tick) AS INT) AS changed FROM n),
+e AS (SELECT *, sum(changed) OVER (PARTITION BY iface ORDER BY tick) AS layout FROM s),
+l AS (SELECT q.iface, queue, q.tick, value, lag(value) OVER (PARTITION BY q.iface, queue, layout ORDER BY q.tick) AS pv
+    FROM queues q JOIN e ON q.iface = e.iface AND q.tick = e.tick WHERE changed = 0)
+SELECT iface, queue, tick, greatest(value - pv, 0) AS delta FROM l WHERE pv IS NOT NULL""")
+def queue_delta_guarded(spark, sf):
+    return R.queue_delta_guarded(queue_obs(spark, sf), tick="tick", chunk=24).select("iface", "queue", "tick", "delta")
+
+
 @plan("queue_cv", f"""WITH {_DELTAS}, g AS (SELECT iface, tick, count(*) AS queues, sum(delta) AS s, sum(delta * delta) AS q FROM qd GROUP BY ALL)
 SELECT iface, tick, queues, CASE WHEN queues >= 2 AND s >= queues THEN {round_sql('sqrt(CAST(queues * q - s * s AS DOUBLE)) / s', 6)} END AS cv,
 CASE WHEN queues >= 2 AND s >= queues THEN CAST(floor(sqrt(CAST(queues * q - s * s AS DOUBLE)) / s * 100) AS BIGINT) END AS rss_cv FROM g""")

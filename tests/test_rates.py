@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetpulse import (
-    counter_rate, entity_delta, irate, layout_guard, multiplex_scale, paired_latency, port_retransmits, queue_cv, queue_delta, raw_rate,
+    counter_rate, entity_delta, irate, layout_guard, multiplex_scale, paired_latency, port_retransmits, queue_cv, queue_delta, queue_delta_guarded, raw_rate,
     running_total, spaced_rows, state_durations, with_previous)
 from fleetpulse.operators.chunks import asof_join
 
@@ -97,6 +97,24 @@ def test_retransmits_per_port(spark):
     assert [(r.port, r.tick, r.total) for r in port_retransmits(df).collect()] == [(80, 2, 4)]
 
 
+def test_a_known_port_is_reported_at_every_tick(spark):
+    rows = [("h", 1, 80, 1, 5), ("h", 2, 80, 1, 8), ("h", 3, 443, 2, 1), ("h", 5, 80, 1, 9), ("h", 6, 80, 1, 11), ("h", 7, 443, 2, 1), ("g", 9, 80, 1, 1)]
+    df = spark.createDataFrame(rows, "host string, tick bigint, sport int, inode bigint, total_retrans bigint").withColumn("dport", F.lit(50000))
+    for chunk in (None, 2, 100):
+        got = sorted((r.host, r.port, r.tick, r.total) for r in port_retransmits(df, chunk=chunk, by=["host"]).collect())
+        assert got == [("h", 80, 2, 3), ("h", 80, 3, 3), ("h", 80, 5, 3), ("h", 80, 6, 5), ("h", 80, 7, 5)]
+        one = sorted((r.port, r.tick, r.total) for r in port_retransmits(df.where("host = 'h'"), chunk=chunk).collect())
+        assert one == [row[1:] for row in got]
+
+
+def test_queue_baselines_end_with_their_layout(spark):
+    rows = [(t, "eth0", q, 10 * t) for t in range(1, 7) for q in range(2 if t < 3 else 3)]
+    df = spark.createDataFrame(rows, "ts bigint, iface string, queue int, value bigint")
+    for chunk in (None, 2, 100):
+        got = sorted((r.ts, r.queue, r.delta) for r in queue_delta_guarded(df, chunk=chunk).collect())
+        assert got == [(t, q, 10) for t in (5, 6) for q in range(3)]
+
+
 def test_entity_delta_forgets_a_missing_entity(spark):
     rows = [(1, "a", 1, 5), (2, "a", 1, 9), (4, "a", 1, 20), (5, "a", 2, 30), (6, "a", 2, 29), (7, "a", 2, 31)]
     df = spark.createDataFrame(rows, "tick bigint, e string, g int, v bigint")
