@@ -4,7 +4,8 @@ Every document gets word statistics; documents that break a base rule are reject
 are points of four transformed statistics. For each language and source the minimum covariance
 determinant is estimated by concentration steps: from medians and quartiles, keep the share
 ``support`` of the points nearest in Mahalanobis distance, take their mean and covariance, and
-repeat. A point beyond ``limit`` squared robust distances is rejected.
+repeat. A point whose squared robust distance, scaled to a normal group, is beyond ``limit`` is
+rejected: by default the quantile of a chi-squared variable that one normal point in ten thousand exceeds.
 
 All steps are column expressions and map-side combined aggregates: a hot source is one row per
 task in every shuffle. Only the narrow statistics are kept between steps.
@@ -16,6 +17,8 @@ base rules alone. Equal rows get equal verdicts; a group whose points are all eq
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +33,19 @@ DIM = len(FLOORS)
 CHI2_MEDIAN = 3.3567
 
 
+def chi2_quantile(p: float) -> float:
+    """Quantile of a chi-squared variable of four degrees of freedom, by bisection of its closed form."""
+    low, high = 0.0, 4000.0
+    for _ in range(100):
+        x = (low + high) / 2
+        low, high = (low, x) if math.exp(-x / 2) * (1 + x / 2) < 1 - p else (x, high)
+    return high
+
+
+#: 23.51
+LIMIT = chi2_quantile(0.9999)
+
+
 def text_statistics(docs: DataFrame) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -116,7 +132,7 @@ def group_shapes(points: DataFrame, support: float, steps: int) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, carry: list[str] | None = None, support: float = 0.75, steps: int = 3,
-                  limit: float = 90.0, least: int = 50) -> DataFrame:
+                  limit: float = LIMIT, least: int = 50) -> DataFrame:
     """Columns ``carry`` of ``docs`` (default all) with statistics, ``base_failed`` and ``kept``.
 
     Carried columns that clash with a result column are dropped.
