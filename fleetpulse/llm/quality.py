@@ -11,8 +11,10 @@ All steps are column expressions and map-side combined aggregates: a hot source
 task in every shuffle. Only the narrow statistics are kept between steps.
 
 Defined cases: a null or empty text has no words and fails the base rules. A null language or
-source is a group of its own. Groups with fewer than ``least`` passing documents reject by the
-base rules alone. Equal rows get equal verdicts; a group whose points are all equal rejects none of them.
+source is a group of its own. A group with fewer than ``least`` passing documents is judged by the
+estimate of all passing documents of its language, and where those are fewer too by that of all
+languages, whatever their number. Equal rows of a group get equal verdicts; points that are all equal
+are not rejected by their own estimate.
 """
 
 from __future__ import annotations
@@ -131,6 +133,24 @@ def group_shapes(points: DataFrame, support: float, steps: int) -> DataFrame:
     return stored(shape.join(middle, "g").withColumn("scale", F.greatest(F.col("middle") / CHI2_MEDIAN, F.lit(1.0))).drop("middle"), "quality-shape")
 
 
+def judging_shapes(points: DataFrame, support: float, steps: int, least: int) -> DataFrame:
+    """The shape by which each group ``g`` of points is judged: its own if it has ``least`` points, else
+    that of its language ``h`` if that has, else that of all points."""
+    own = group_shapes(points.drop("h"), support, steps)
+    few = own.where(F.col("n") < least).select("g")
+    if few.isEmpty():
+        return own
+    few = stored(few.join(points.select("g", "h").distinct(), "g"), "quality-few")
+    spoken = points.join(few.select("h").distinct(), "h", "left_semi").withColumn("g", F.col("h")).drop("h")
+    languages = group_shapes(spoken, support, steps).where(F.col("n") >= least).withColumnRenamed("g", "h")
+    out = own.where(F.col("n") >= least).unionByName(few.join(languages, "h").drop("h"))
+    rest = few.join(languages, "h", "left_anti").select("g")
+    if rest.isEmpty():
+        return out
+    whole = group_shapes(points.withColumn("g", F.lit("")).drop("h"), support, steps).drop("g")
+    return out.unionByName(rest.crossJoin(whole))
+
+
 def quality_rules(docs: DataFrame, carry: list[str] | None = None, support: float = 0.75, steps: int = 3,
                   limit: float = LIMIT, least: int = 50) -> DataFrame:
     """Columns ``carry`` of ``docs`` (default all) with statistics, ``base_failed`` and ``kept``.
@@ -139,18 +159,18 @@ def quality_rules(docs: DataFrame, carry: list[str] | None = None, support: floa
     """
     made = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
     out = [c for c in (carry if carry is not None else docs.columns)
-           if c.lower() not in {*made, "base_failed", "kept", "distance", "g", *(f"x{i}" for i in range(DIM))}]
+           if c.lower() not in {*made, "base_failed", "kept", "distance", "g", "h", *(f"x{i}" for i in range(DIM))}]
     narrow = docs.select(*out, *[c for c in ("text", "lang", "source") if c not in out])
     known = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit(""))
     facts = stored(
         text_statistics(narrow).withColumn("base_failed", base_failed())
-        .withColumn("g", F.concat_ws("\u0001", known("lang"), known("source")))
+        .withColumns({"g": F.concat_ws("\u0001", known("lang"), known("source")), "h": known("lang")})
         .withColumns({f"x{i}": F.when(~F.col("base_failed"), x) for i, x in enumerate(_point())})
-        .select(*out, *made, "base_failed", "g", *[f"x{i}" for i in range(DIM)]), "quality-facts")
-    points = facts.where(~F.col("base_failed")).select("g", *[f"x{i}" for i in range(DIM)])
-    shapes = group_shapes(points, support, steps)
+        .select(*out, *made, "base_failed", "g", "h", *[f"x{i}" for i in range(DIM)]), "quality-facts")
+    points = facts.where(~F.col("base_failed")).select("g", "h", *[f"x{i}" for i in range(DIM)])
+    shapes = judging_shapes(points, support, steps, least)
     judged = facts.join(shapes, "g", "left").withColumn("distance", _distance() / F.col("scale"))
-    odd = (F.col("n") >= least) & (F.col("distance") > limit)
+    odd = F.col("distance") > limit
     return judged.select(*out, *made, "base_failed", "distance",
                          (~F.col("base_failed") & ~F.coalesce(odd, F.lit(False))).alias("kept"))
 

@@ -25,3 +25,23 @@ def test_moderate_outliers_are_rejected(spark):
     got = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(rows, DDL)).collect()}
     assert all(quality.LIMIT < got[i].distance < 90 for i in range(60))
     assert not any(got[i].kept for i in range(60)) and all(got[i].kept for i in range(60, 600))
+
+
+def test_small_groups_are_judged_by_their_language_or_all(spark):
+    """Sources of 6 documents in one language, and languages of 6 documents: one document of each stands out."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(20):
+        for i in range(6):
+            lang, source = (f"l{k}", "s") if k < 8 else ("en", f"s{k}")
+            rows.append((len(rows), document(rng, 100 if i == 5 else 0), None if k == 0 else lang, source))
+    got = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(rows, DDL)).collect()}
+    assert len(got) == len(rows) and all(got[i].distance is not None for i in got)
+    assert {i for i in got if not got[i].kept} == {i for i in got if i % 6 == 5}
+
+
+def test_few_documents_of_one_language(spark):
+    rng = random.Random(6)
+    rows = [(i, document(rng, 100 if i == 7 else 0), "en", f"s{i % 3}") for i in range(8)]
+    got = {r.doc_id: r.kept for r in quality.quality_rules(spark.createDataFrame(rows, DDL)).collect()}
+    assert [i for i in got if not got[i]] == [7]
