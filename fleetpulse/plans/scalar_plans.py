@@ -140,6 +140,19 @@ def field_map(spark, sf):
     return FL.field_map(rows).groupBy("proto", "field", "metric").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"))
 
 
+_ALL_FIELDS = (*((p, f, m) for p, fields in FL.FIELD_MAP.items() for m, f in fields.items()), ("Udp", "NotAField", None))
+
+
+@plan("field_map_whole", f"""WITH m(i, proto, field, metric) AS (VALUES {', '.join(f"({i}, '{p}', '{f}', {'NULL' if m is None else repr(m)})" for i, (p, f, m) in enumerate(_ALL_FIELDS))})
+SELECT proto, field, metric, count(*) AS n, CAST(sum({CENTS}) AS BIGINT) AS total FROM events JOIN m ON i = event_id % {len(_ALL_FIELDS)} WHERE metric IS NOT NULL GROUP BY ALL""")
+def field_map_whole(spark, sf):
+    """Every pair of the map, and one field that is not in it."""
+    at = (F.col("event_id") % len(_ALL_FIELDS) + 1).cast("int")
+    rows = events(spark, sf).select(F.element_at(F.array(*[F.lit(p) for p, _, _ in _ALL_FIELDS]), at).alias("proto"),
+                                    F.element_at(F.array(*[F.lit(f) for _, f, _ in _ALL_FIELDS]), at).alias("field"), cents().alias("v"))
+    return FL.field_map(rows).groupBy("proto", "field", "metric").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"))
+
+
 @plan("artifact_flags", f"""WITH s AS (SELECT event_id, {CENTS} AS p50, CASE event_id % 11 WHEN 0 THEN 549755813887 WHEN 1 THEN 1048575
 ELSE {CENTS} * (1 + event_id % 3) END AS p99 FROM events)
 SELECT event_id, CASE WHEN p99 IN (549755813887, 1048575) THEN 'saturated' WHEN greatest(p50, p99) > 15000 THEN 'aliasing'

@@ -160,6 +160,16 @@ def write_samples(spark, sf):
                        "p50", "p90", "p99", "p999")
 
 
+@plan("write_samples_whole", f"""WITH {SAMPLES} SELECT CAST(CAST(make_timestamp(us) AS DATE) AS VARCHAR) AS date, us, name, {_LABELS} AS tags, raw, p50, p90, p99, p999 FROM samples""")
+def write_samples_whole(spark, sf):
+    """The whole table as it was written: every date and metric."""
+    path = scratch(spark, "samples")
+    K.write_samples(snapshots(spark, sf), path)
+    rows = spark.read.schema(f"{SAMPLES_DDL}, date date").parquet(path)
+    return rows.select(F.col("date").cast("string").alias("date"), F.unix_micros("ts").alias("us"), "name", encode_labels("tags").alias("tags"),
+                       F.col("raw").cast("bigint").alias("raw"), "p50", "p90", "p99", "p999")
+
+
 @plan("load_session_files", f"SELECT DISTINCT epoch_us(ts) // 1000 AS ts_ms, {CENTS} AS raw FROM events WHERE {_REASON} IS NULL")
 def load_session_files(spark, sf):
     first, second = scratch(spark, "first"), scratch(spark, "second")
