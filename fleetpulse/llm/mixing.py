@@ -1,18 +1,19 @@
 """Mixing sources to target weights, natively.
 
 Each source is one stream of its documents' words in hashed order, packed into blocks of fixed
-length. Every output shard draws multinomial source counts: its slots take stratified uniforms,
-which have the multinomial's means and less variance, against the cumulated weights. The slots
-of a source are numbered over all shards, and a pseudorandom permutation of the block indexes
-(swap-or-not rounds, one permutation for each pass over the source) says which block a slot
-holds. Slots and blocks join by (source, index).
+length; the last one may be shorter. A source gets as many slots as its target holds of its mean
+block, rounded, one at least. The slots of all sources in a row are dealt to the output shards by
+a pseudorandom permutation (swap-or-not rounds), so shards are of equal size and their source
+counts are multinomial draws given each source's number of slots. The slots of a source are
+numbered over all shards, and a permutation of the block indexes, one for each pass over the
+source, says which block a slot holds. Slots and blocks join by (source, index).
 
 Positions in a stream come from sums in two levels (chunks of a source, rows of a chunk), so a hot
 source is many window partitions. Targets are per-source figures in one small window.
 
 Defined cases: a null text has size 0 and is never taken; a null source is the last source. Rows with
 the same doc_id are separate documents of their own sizes. An empty table gives no rows. A source
-whose target is twice its size gives each block at most twice, hence no document more.
+whose target is twice its size gives each block twice, hence each document.
 """
 
 from __future__ import annotations
@@ -71,32 +72,34 @@ def streams(docs: DataFrame, targets: DataFrame, block: int, seed: int, chunk_do
             .withColumn("start", F.col("chunk_start") + F.col("inner")).drop("chunk", "o", "docs", "inner", "chunk_start"))
 
 
-TASK_SHARDS = 16
+TASK_SLOTS = 1 << 18
+RUN_SLOTS = 1 << 10
+
+
+def slot_counts(targets: DataFrame, block: int) -> DataFrame:
+    """For each source with a target: s, its blocks, n (its slots) and ahead (the slots of the sources before it)."""
+    rows = targets.where("target > 0").withColumn("blocks", F.ceil(F.col("source_size") / block))
+    most = F.ceil(F.col("target") / F.col("source_size")) * F.col("blocks")
+    mean = F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long")
+    rows = rows.withColumn("n", F.least(F.greatest(mean, F.lit(1)), most))
+    before = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.select("s", "blocks", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
 
 
 def slots(targets: DataFrame, block: int, slots_per_shard: int, seed: int) -> DataFrame:
     """One row per slot of the mix: shard, s, t (its number in the source), block index, pass."""
-    spark = targets.sparkSession
-    total = targets.agg(F.round(F.sum("target") / block).cast("long")).first()[0] or 0
+    counts = slot_counts(targets, block)
+    total = counts.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-total // slots_per_shard))
-    edges = targets.where("target > 0").withColumn("edge", F.sum("target").over(Window.orderBy("s")) / F.sum("target").over(Window.partitionBy()))
-    lookup = edges.agg(F.array_sort(F.collect_list(F.struct("edge", "s"))).alias("edges"))
-    drawn = spark.range(total).withColumns({"shard": F.pmod("id", F.lit(shards)), "edges": lookup.scalar()})
-    inner = F.floor(F.col("id") / shards)
-    held = F.floor((F.lit(total) - F.col("shard") + shards - 1) / shards)  # slots of this shard
-    uniform = (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    drawn = drawn.withColumn("u", (inner + uniform) / held)
-    above = F.filter("edges", lambda e: e["edge"] > F.col("u"))
-    drawn = drawn.withColumn("s", F.coalesce(F.get(above, F.lit(0))["s"], F.element_at("edges", -1)["s"]))
-    counts = drawn.groupBy("shard", "s").agg(F.count("*").alias("n"))
-    first = F.coalesce(F.sum("n").over(Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # The counts are few rows that stand for many slots: deal them by the slots they make, not by their bytes.
-    dealt = counts.withColumn("first", first).repartition(-(-shards // TASK_SHARDS), "shard")
-    numbered = dealt.select("shard", "s", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("t"))
-    figures = targets.select("s", F.ceil(F.col("source_size") / block).alias("blocks"), F.ceil(F.col("target") / F.col("source_size")).alias("passes"))
-    numbered = numbered.join(figures, "s").where(F.col("t") < F.col("passes") * F.col("blocks"))
+    runs = counts.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(RUN_SLOTS).cast("long"))).alias("first"))
+    dealt = runs.repartition(max(1, -(-total // TASK_SLOTS)), "s", "first")
+    last = F.least(F.col("first") + RUN_SLOTS, F.col("n")) - 1
+    numbered = dealt.select("s", "blocks", "ahead", F.explode(F.sequence("first", last)).alias("t"))
+    place = permuted(F.col("ahead") + F.col("t"), F.lit(total).cast("long"), F.lit(seed).cast("long"))
     turn = F.floor(F.col("t") / F.col("blocks"))
-    return numbered.select("shard", "s", "t", turn.alias("turn"), permuted(F.pmod("t", F.col("blocks")), F.col("blocks"), F.xxhash64("s", turn, F.lit(seed))).alias("block"))
+    return numbered.select(F.pmod(place, F.lit(shards)).alias("shard"), "s", "t", turn.alias("turn"),
+                           permuted(F.pmod("t", F.col("blocks")), F.col("blocks"), F.xxhash64("s", turn, F.lit(seed))).alias("block"))
 
 
 def row_keys() -> dict[str, Column]:
@@ -121,7 +124,8 @@ def mix(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), weights: tuple[in
     placed = stored(streams(facts, targets, block, seed, chunk_docs), "mix-streams")
     spans = placed.where("size > 0").select("s", "start", "size", F.explode(F.sequence(
         F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block"))
-    taken = slots(targets, block, slots_per_shard, seed).join(spans, ["s", "block"])
+    # the slots come from few small rows, so that their size is underrated: they are never broadcast
+    taken = slots(targets, block, slots_per_shard, seed).hint("merge").join(spans, ["s", "block"])
     begin, end = F.greatest(F.col("block") * block, F.col("start")), F.least(F.col("block") * block + block, F.col("start") + F.col("size"))
     return placed, taken.select("shard", "s", "t", "turn", "start", (begin - F.col("start")).alias("first"), (end - begin).alias("n"))
 
