@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import sys
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, counts, decontaminate, langid, minhash, mixing, pii, quality, repeats, sharding
+from . import alignment, chat, counts, decontaminate, langid, minhash, mixing, pii, quality, repeats, sharding, tokenfiles, whitening
 from .tables import table
 
-TOKENIZERS = "/opt/tokenizers"
 SHARDS = 8
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -68,7 +66,7 @@ def op1_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return counts.count_tokens(docs, f"{TOKENIZERS}/byte_bpe_50k.json").select("doc_id", "n_bytes", "n_tokens", "over_limit")
+    return counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
 @query()
@@ -134,3 +132,24 @@ def op10_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return quality.quality_rules(docs, carry=["doc_id"]).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query()
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = tokenfiles.write_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), 2)
+    return tokenfiles.read_documents(spark, folder).withColumnRenamed("key", "doc_id")
+
+
+@query()
+def op12_multiplicity_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whitening.whiten(rows).select(
+        "vec_id", "component", "n", F.expr("try_cast(deviation AS bigint)").alias("deviation"), "whitened", "explained", "identity_error")
+
+
+@query()
+def op13_space_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    blocks = alignment.blocks_of(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return alignment.score_documents(blocks, alignment.link_counts(blocks)).withColumnRenamed("key", "doc_id")

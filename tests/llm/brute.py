@@ -112,3 +112,22 @@ def edit_place(pattern, text):
 
 def held_out(doc_id):
     return zlib.crc32(str(doc_id).encode()) % 4 == 2
+
+
+def aligned(text, a, b):
+    """A ids, B ids, groups and links of a text; ``a`` and ``b`` have (encode, bytes_of)."""
+    raw, ids = (" " + (text or "")).encode(), []
+    for encode, bytes_of in (a, b):
+        own = list(encode([text or ""])[0])
+        if not text or b"".join(bytes_of[i] for i in own) != raw:
+            return [], [], [], []
+        end, ends = 0, []
+        for i in own:
+            ends.append((end, end := end + len(bytes_of[i]), i))
+        ids.append(ends)
+    groups, first = [], 0
+    for cut in sorted({e for _, e, _ in ids[0]} & {e for _, e, _ in ids[1]}):
+        groups.append("|".join(",".join(str(i) for s, e, i in own if first <= s and e <= cut) for own in ids))
+        first = cut
+    links = [(i, j) for s, e, i in ids[0] for t, f, j in ids[1] if s < f and t < e]
+    return [i for *_, i in ids[0]], [j for *_, j in ids[1]], groups, links
