@@ -4,22 +4,23 @@ Both tokenizers encode each whole text. Every token's bytes give its place in th
 bytes differ from a space and its text, under either tokenizer, has no tokens. Anchors are the places where both have a token
 that starts with a space: what precedes ends there in both (checked on byte places, not assumed). Anchors
 cut a document into windows of token ids, mostly words. A window's alignment depends on its ids alone, so
-it is worked out once per worker for each tuple of ids: its groups (the cuts at which tokens of both end) and its links
-(token pairs whose bytes overlap; each is one cell between neighbouring token ends, so they are found in one walk).
+it is worked out once per block of documents for each tuple of ids (found by hash, compared id by id): its groups (the cuts at
+which tokens of both end) and its links (token pairs whose bytes overlap; each is one cell between neighbouring token ends).
 
 Corpus-wide counts come from blocks of documents: a block lists its distinct links with their
 counts, Spark adds these up, finds each B id's highest, and brings back to every block what its links need. So
 the shuffles carry distinct links per block, not links per document, and the most common link is one row a block.
 
 Defined cases: a null or empty text has no tokens: zeros and an empty group text. A text that a tokenizer does not
-give back byte for byte (U+2581 for instance) likewise. Rows with null or equal keys, and copies, each count. A text of any length is one
-block of its own where it is longer than ``BLOCK_BYTES``; a text without spaces is one window, which is walked and not remembered. An
-empty table gives no rows. Columns beside the key and the text are not used.
+give back byte for byte (U+2581 for instance) likewise. Rows with null or equal keys, and copies, each count. A text of any length is in one block,
+alone where it is longer than ``BLOCK_BYTES``; a text without spaces is one window. An empty table gives no rows. Columns beside the key and the text are not used.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
+import json
 import os
 from collections.abc import Iterator
 
@@ -29,14 +30,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import runs
+from .bytetext import U, mixed, runs
 from .tables import stored
 
-BLOCK_BYTES = 8 << 20
-RUN = 1 << 20
-#: Windows of more ids than this are not remembered, and so many are remembered at most.
-LONG_WINDOW = 64
-WINDOWS_HELD = 400_000
+BLOCK_BYTES = 3 << 19
+#: Texts a library gets at a time.
+AT_ONCE = 64
+#: The cutting pattern of byte-level vocabularies. Fixed value.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters that every Unicode version classes alike.
+PLAIN = "[\t\n\r\x20-\x7e¡-¬®-ſ–—‘-”…€]*"
 
 
 def byte_letters() -> dict[str, int]:
@@ -46,9 +49,20 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+def in_merge_order(spec: dict) -> bool:
+    """Whether a byte-level tokenizer file has no normalizer, cuts by the usual pattern and numbers its merges in order, after
+    the single bytes: then ids are ranks, and an encoder of ranks gives the same ids."""
+    before, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
+    return (not spec.get("normalizer") and (before.get("type"), before.get("use_regex"), before.get("add_prefix_space")) == ("ByteLevel", True, False)
+            and not model.get("dropout") and not model.get("ignore_merges") and not model.get("end_of_word_suffix") and not model.get("continuing_subword_prefix")
+            and all(model["vocab"]["".join(m)] == 256 + k for k, m in enumerate(pairs)))
+
+
 class Tokens:
     """A tokenizer with the bytes of each of its ids. A ``.json`` file is a byte-level one, given a space before the
-    text; a ``.model`` file adds that space itself."""
+    text; a ``.model`` file adds that space itself. Texts of usual characters go through the faster rank encoder, built from the
+    same file, where ``in_merge_order`` holds; all others through the file's own library."""
 
     def __init__(self, path: str):
         if path.endswith(".model"):
@@ -60,158 +74,169 @@ class Tokens:
             self.bytes_of = {i: bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in pieces.items()}
         else:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            import regex
             from tokenizers import Tokenizer
 
-            model = Tokenizer.from_file(path)
-            model.no_padding()
-            model.no_truncation()
-            model.encode_special_tokens = True
-            self.encode = lambda texts: [e.ids for e in model.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+            self.library = Tokenizer.from_file(path)
+            self.library.no_padding()
+            self.library.no_truncation()
+            self.library.encode_special_tokens = True
             letters = byte_letters()
-            self.bytes_of = {i: bytes(letters[c] for c in p) if all(c in letters for c in p) else p.encode() for p, i in model.get_vocab().items()}
+            self.bytes_of = {i: bytes(letters[c] for c in p) if all(c in letters for c in p) else p.encode() for p, i in self.library.get_vocab().items()}
+            with open(path, encoding="utf-8") as f:
+                spec = json.load(f)
+            self.ranks, self.plain = None, regex.compile(PLAIN)
+            if in_merge_order(spec):
+                import tiktoken
+
+                ranks = {self.bytes_of[i]: i for i in spec["model"]["vocab"].values()}
+                self.ranks = tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.encode = self._encode
         most = max(self.bytes_of) + 1
         self.sizes = np.zeros(most, np.int64)
         self.spaced = np.zeros(most, bool)
         for i, b in self.bytes_of.items():
             self.sizes[i], self.spaced[i] = len(b), b[:1] == b" "
+        self.names = [str(i) for i in range(most)]
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        usual = [self.ranks is not None and self.plain.fullmatch(t) is not None for t in texts]
+        rest = iter(self.library.encode_batch_fast([" " + t for t, u in zip(texts, usual) if not u], add_special_tokens=False))
+        return [self.ranks.encode_ordinary(" " + t) if u else next(rest).ids for t, u in zip(texts, usual)]
 
     def joined(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-class Window:
-    """Groups and links of a window of A ids and B ids over the same bytes."""
-
-    __slots__ = ("groups", "text", "links")
-
-    def __init__(self, a: list[int], b: list[int], a_sizes, b_sizes):
-        self.groups, self.links, parts = 0, [], []
-        i = j = first_a = first_b = 0
-        end_a, end_b = a_sizes[a[0]], b_sizes[b[0]]
-        while True:
-            self.links.append(a[i] << 32 | b[j])
-            if end_a == end_b:
-                parts.append(",".join(map(str, a[first_a:i + 1])) + "|" + ",".join(map(str, b[first_b:j + 1])))
-                i, j = i + 1, j + 1
-                if i == len(a):
-                    break
-                first_a, first_b, end_a, end_b = i, j, end_a + a_sizes[a[i]], end_b + b_sizes[b[j]]
-            elif end_a < end_b:
-                i += 1
-                end_a += a_sizes[a[i]]
-            else:
-                j += 1
-                end_b += b_sizes[b[j]]
-        self.groups, self.text = len(parts), ";".join(parts)
-
-
-class Aligner:
-    """Windows of whole texts under two tokenizers."""
-
-    def __init__(self, path_a: str, path_b: str):
-        self.a, self.b = Tokens(path_a), Tokens(path_b)
-        self.size_lists = self.a.sizes.tolist(), self.b.sizes.tolist()
-        self.held: dict[tuple[bytes, bytes], Window] = {}
-
-    def window(self, key: tuple[bytes, bytes]) -> Window:
-        found = self.held.get(key)
-        if found is None:
-            a, b = (np.frombuffer(k, "<u4").tolist() for k in key)
-            found = Window(a, b, *self.size_lists)
-            if len(a) + len(b) <= LONG_WINDOW:
-                if len(self.held) >= WINDOWS_HELD:
-                    self.held.clear()
-                self.held[key] = found
-        return found
-
-    def windows(self, texts: list[str]) -> Iterator[tuple[int, int, list[tuple[bytes, bytes]]]]:
-        """Number of A ids, of B ids, and windows (as packed ids) of each text."""
-        rows_a, rows_b, own = self.a.encode(texts), self.b.encode(texts), []
-        for text, a, b in zip(texts, rows_a, rows_b):
-            raw = (" " + text).encode() if text else b""
-            own.append(bool(raw) and self.a.joined(a) == raw and self.b.joined(b) == raw)
-        rows_a = [a for a, ok in zip(rows_a, own) if ok]
-        rows_b = [b for b, ok in zip(rows_b, own) if ok]
-        places, flat, docs = [], [], []
-        for rows, tokens in ((rows_a, self.a), (rows_b, self.b)):
-            ids = np.fromiter((i for r in rows for i in r), np.uint32, sum(map(len, rows)))
-            sizes = tokens.sizes[ids]
-            start = np.cumsum(sizes) - sizes
-            marked = np.flatnonzero(tokens.spaced[ids])
-            places.append((marked, start[marked])), flat.append(ids.astype("<u4").tobytes()), docs.append(np.cumsum([0, *map(len, rows)]))
-        (at_a, start_a), (at_b, start_b) = places
-        _, of_a, of_b = np.intersect1d(start_a, start_b, assume_unique=True, return_indices=True)
-        cut_a, cut_b = at_a[of_a], at_b[of_b]  # every document starts at one of these
-        first = np.searchsorted(cut_a, docs[0]).tolist()
-        cut_a, cut_b = [*(cut_a * 4).tolist(), len(flat[0])], [*(cut_b * 4).tolist(), len(flat[1])]
-        packed_a, packed_b = flat
-        keys = [(packed_a[p:q], packed_b[r:s]) for p, q, r, s in zip(cut_a, cut_a[1:], cut_b, cut_b[1:])]
-        k = 0
-        for ok in own:
-            if ok:
-                yield len(rows_a[k]), len(rows_b[k]), keys[first[k]:first[k + 1]]
-                k += 1
-            else:
-                yield 0, 0, []
+class Stream:
+    """Ids of several texts under one tokenizer, one after another, with the places of their bytes."""
+
+    def __init__(self, tokens: Tokens, rows: list[np.ndarray]):
+        self.bounds = np.cumsum([0, *map(len, rows)])
+        self.ids = np.concatenate(rows).astype(np.int64)
+        sizes = tokens.sizes[self.ids]
+        self.ends = np.cumsum(sizes)
+        marked = np.flatnonzero(tokens.spaced[self.ids])
+        self.marked, self.marked_at = marked, self.ends[marked] - sizes[marked]
+
+    def cut(self, at: np.ndarray) -> None:
+        """Windows begin at these tokens."""
+        self.first, self.sizes = at, np.diff(np.append(at, len(self.ids)))
+
+    def hashes(self, salt: int) -> np.ndarray:
+        """A hash of each window's ids in order."""
+        place = np.arange(len(self.ids)) - np.repeat(self.first, self.sizes)
+        return np.add.reduceat(mixed(self.ids.astype(U) + mixed(place.astype(U) + U(salt))), self.first)
+
+    def of(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the tokens of these windows, and their bounds."""
+        ends = np.concatenate([[0], np.cumsum(self.sizes[windows])])
+        return np.repeat(self.first[windows] - ends[:-1], self.sizes[windows]) + np.arange(ends[-1]), ends
+
+
+class Windows:
+    """Whole texts cut into windows. ``bounds`` are the texts' bounds in ``place``, the number of each window among the
+    distinct ones; of these, the group texts, the numbers of groups and the links (``a << 32 | b``) with bounds are kept."""
+
+    def __init__(self, a: Tokens, b: Tokens, texts: list[str]):
+        rows_a, rows_b = [], []
+        for k in range(0, len(texts), AT_ONCE):
+            some = texts[k:k + AT_ONCE]
+            for text, ids_a, ids_b in zip(some, a.encode(some), b.encode(some)):
+                raw = (" " + text).encode() if text else None
+                same = raw is not None and a.joined(ids_a) == raw and b.joined(ids_b) == raw
+                rows_a.append(np.array(ids_a if same else [], np.int32)), rows_b.append(np.array(ids_b if same else [], np.int32))
+        one, two = Stream(a, rows_a), Stream(b, rows_b)
+        self.n_a, self.n_b = np.diff(one.bounds), np.diff(two.bounds)
+        _, at_a, at_b = np.intersect1d(one.marked_at, two.marked_at, assume_unique=True, return_indices=True)
+        one.cut(one.marked[at_a]), two.cut(two.marked[at_b])  # each text that has tokens starts with one
+        self.bounds = np.searchsorted(one.first, one.bounds)
+        if not len(one.first):
+            self.place, self.groups, self.group_texts = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+            self.links, self.link_bounds = np.zeros(0, np.int64), np.zeros(1, np.int64)
+            return
+        chosen, self.place = self._distinct(one, two)
+        self._align(a, b, one, two, chosen)
+
+    @staticmethod
+    def _distinct(one: Stream, two: Stream) -> tuple[np.ndarray, np.ndarray]:
+        """A window of each tuple of ids, and which of them each window equals, ids compared."""
+        for salt in itertools.count(1):
+            key = mixed(one.hashes(salt) + mixed(two.hashes(-salt % 2**32)))
+            _, chosen, place = np.unique(key, return_index=True, return_inverse=True)
+            like, same = chosen[place], True
+            for s in (one, two):
+                same = same and np.array_equal(s.sizes[like], s.sizes) and np.array_equal(s.ids[s.of(like)[0]], s.ids)
+            if same:
+                return chosen, place
+
+    def _align(self, a: Tokens, b: Tokens, one: Stream, two: Stream, chosen: np.ndarray) -> None:
+        """Links and groups of the chosen windows, laid one after another."""
+        at_a, bounds_a = one.of(chosen)
+        at_b, bounds_b = two.of(chosen)
+        ids_a, ids_b = one.ids[at_a], two.ids[at_b]
+        ends_a, ends_b = np.cumsum(a.sizes[ids_a]), np.cumsum(b.sizes[ids_b])
+        cells = np.union1d(ends_a, ends_b)  # each cell between neighbouring ends is one link
+        last = ends_a[bounds_a[1:] - 1]
+        in_a, in_b = np.searchsorted(ends_a, cells), np.searchsorted(ends_b, cells)
+        self.links = ids_a[in_a] << 32 | ids_b[in_b]
+        self.link_bounds = np.concatenate([[0], np.searchsorted(cells, last, "right")])
+        both = np.flatnonzero((ends_a[in_a] == cells) & (ends_b[in_b] == cells))  # cells that close a group
+        group_bounds = np.searchsorted(cells[both], last, "right")
+        self.groups = np.diff(np.concatenate([[0], group_bounds]))
+        names_a, names_b = [a.names[i] for i in ids_a.tolist()], [b.names[i] for i in ids_b.tolist()]
+        texts, p, q = [], 0, 0
+        for x, y in zip((in_a[both] + 1).tolist(), (in_b[both] + 1).tolist()):
+            texts.append((names_a[p] if x == p + 1 else ",".join(names_a[p:x])) + "|" + (names_b[q] if y == q + 1 else ",".join(names_b[q:y])))
+            p, q = x, y
+        first = [0, *group_bounds.tolist()]
+        self.group_texts = [texts[i] if j == i + 1 else ";".join(texts[i:j]) for i, j in zip(first, first[1:])]
+
+    def text(self, k: int) -> str:
+        """All groups of text k."""
+        return ";".join([self.group_texts[i] for i in self.place[self.bounds[k]:self.bounds[k + 1]].tolist()])
 
 
 def aligned_texts(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id") -> DataFrame:
     """key, n_a, n_b and groups (a text such as ``a1,a2|b1;a3|b2,b3``) of each document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(path_a, path_b)
-        for keys, texts in _bounded(batches):
-            found = [(n_a, n_b, ";".join([aligner.window(w).text for w in windows])) for n_a, n_b, windows in aligner.windows(texts)]
-            n_a, n_b, groups = zip(*found)
-            yield pa.RecordBatch.from_arrays([keys, pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64()), pa.array(groups, pa.string())], names=["key", "n_a", "n_b", "groups"])
+        a, b = Tokens(path_a), Tokens(path_b)
+        for keys, texts in bounded(batches, BLOCK_BYTES):
+            windows = Windows(a, b, texts)
+            groups = pa.array([windows.text(k) for k in range(len(texts))], pa.string())
+            yield pa.RecordBatch.from_arrays([keys, pa.array(windows.n_a), pa.array(windows.n_b), groups], names=["key", "n_a", "n_b", "groups"])
 
     return docs.select(F.col(key).cast("long").alias("key"), "text").mapInArrow(run, "key long, n_a long, n_b long, groups string")
 
 
-def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
-    """Keys and texts in runs of about RUN bytes."""
+def bounded(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Array, list[str]]]:
+    """Keys and texts in runs of about ``most`` bytes, within batches."""
     import pyarrow.compute as pc
 
     for batch in batches:
         texts = batch.column(1).cast(pa.large_string()).fill_null("")
         bounds = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy())])
-        for a, b in runs(bounds, RUN):
+        for a, b in runs(bounds, most):
             yield batch.column(0).slice(a, b - a), texts.slice(a, b - a).to_pylist()
 
 
-class _Block:
-    """Documents, distinct windows and distinct links of one block."""
-
-    def __init__(self):
-        self.rows, self.places, self.texts, self.groups, self.links, self.times = [], {}, [], [], [], []
-        self.bytes = 0
-
-    def add(self, aligner: Aligner, key, n_a: int, n_b: int, windows: list) -> None:
-        at = []
-        for w in windows:
-            place = self.places.get(w)
-            if place is None:
-                found = aligner.window(w)
-                place = self.places[w] = len(self.texts)
-                self.texts.append(found.text), self.groups.append(found.groups), self.links.append(found.links), self.times.append(0)
-            at.append(place)
-        digest = hashlib.sha256(";".join([self.texts[p] for p in at]).encode()).hexdigest() if at else ""
-        own, times = np.unique(np.array(at, np.int64), return_counts=True)
-        groups, links = 0, 0
-        for p, t in zip(own.tolist(), times.tolist()):
-            groups, links = groups + t * self.groups[p], links + t * len(self.links[p])
-            self.times[p] += t
-        self.rows.append((key, n_a, n_b, groups, links, digest, own.astype("<u4").tobytes(), times.astype("<u4").tobytes()))
-
-    def packed(self, number: int) -> pa.RecordBatch:
-        keys, n_a, n_b, groups, links, digests, windows, times = zip(*self.rows)
-        sizes = np.array([len(x) for x in self.links], np.int64)
-        every = np.fromiter((x for own in self.links for x in own), np.uint64, int(sizes.sum()))
-        distinct, place = np.unique(every, return_inverse=True)
-        counts = np.bincount(place, np.repeat(np.array(self.times, np.float64), sizes), len(distinct)).astype(np.int64)
-        one = {"block": number, "keys": keys, "n_a": n_a, "n_b": n_b, "n_groups": groups, "n_links": links, "groups_sha256": digests, "windows": windows, "times": times,
-               "window_sizes": sizes.astype("<u4").tobytes(), "window_links": place.astype("<u4").tobytes(),
-               "link_a": (distinct >> np.uint64(32)).astype(np.int32), "link_b": (distinct & np.uint64(0xFFFFFFFF)).astype(np.int32), "link_n": counts}
-        return pa.RecordBatch.from_pylist([one], BLOCK)
+def packed_block(number: int, keys: pa.Array, windows: Windows) -> pa.RecordBatch:
+    """One row: the documents of a block, its distinct windows and its distinct links."""
+    of_window = np.diff(windows.link_bounds)
+    own, times, digests = [], [], []
+    for k in range(len(keys)):
+        w, t = np.unique(windows.place[windows.bounds[k]:windows.bounds[k + 1]], return_counts=True)
+        own.append(w.astype("<u4").tobytes()), times.append(t.astype("<u4").tobytes())
+        digests.append(hashlib.sha256(windows.text(k).encode()).hexdigest() if len(w) else "")
+    sums = [np.concatenate([[0], np.cumsum(v[windows.place])]) for v in (windows.groups, of_window)]
+    n_groups, n_links = (np.diff(v[windows.bounds]) for v in sums)
+    distinct, place = np.unique(windows.links, return_inverse=True)
+    weight = np.repeat(np.bincount(windows.place, minlength=len(of_window)), of_window).astype(np.float64)
+    counts = np.bincount(place, weight, len(distinct)).astype(np.int64)
+    one = {"block": number, "keys": keys.to_pylist(), "n_a": windows.n_a, "n_b": windows.n_b, "n_groups": n_groups, "n_links": n_links, "groups_sha256": digests, "windows": own, "times": times,
+           "window_sizes": of_window.astype("<u4").tobytes(), "window_links": place.astype("<u4").tobytes(),
+           "link_a": (distinct >> 32).astype(np.int32), "link_b": (distinct & 0xFFFFFFFF).astype(np.int32), "link_n": counts}
+    return pa.RecordBatch.from_pylist([one], BLOCK)
 
 
 _LONGS = pa.list_(pa.int64())
@@ -225,16 +250,10 @@ BLOCK_DDL = ("block long, keys array<long>, n_a array<long>, n_b array<long>, n_
 def blocks_of(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Blocks of aligned documents, written once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, block, number = Aligner(path_a, path_b), _Block(), TaskContext.get().partitionId() << 32
-        for keys, texts in _bounded(batches):
-            for name, text, (n_a, n_b, windows) in zip(keys.to_pylist(), texts, aligner.windows(texts)):
-                block.add(aligner, name, n_a, n_b, windows)
-                block.bytes += len(text)
-                if block.bytes >= block_bytes:
-                    yield block.packed(number)
-                    block, number = _Block(), number + 1
-        if block.rows:
-            yield block.packed(number)
+        a, b, number = Tokens(path_a), Tokens(path_b), TaskContext.get().partitionId() << 32
+        for keys, texts in bounded(batches, block_bytes):
+            yield packed_block(number, keys, Windows(a, b, texts))
+            number += 1
 
     return stored(docs.select(F.col(key).cast("long").alias("key"), "text").mapInArrow(run, BLOCK_DDL), "aligned-blocks")
 

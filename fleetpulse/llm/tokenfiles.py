@@ -13,8 +13,9 @@ A task writes files under a name of its own attempt and only names that its row
 a lost executor or a second attempt leaves at most files that nothing refers to. Batches are appended as they
 come: no task holds a partition.
 
-Words are encoded once per worker where the tokenizer's file says that it drops white space and works word by
-word; texts with special strings, and all texts of any other tokenizer, go to the library whole.
+Where the tokenizer's file says that it drops white space and works piece by piece, words are cut by the file's own
+pattern and each distinct piece is given to its model once per task; words with unusual characters, texts with
+special strings, and all texts of any other tokenizer, go to the library whole.
 
 Defined cases: a null text is an empty one, of which the end id remains. Null keys come first. Rows of equal key are ordered by
 a hash of their text and else as they were read; they may lie in several partitions. Of a text of any length one
@@ -25,8 +26,10 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,28 +44,90 @@ from fleetpulse.session import scratch
 
 from .bytetext import runs
 
-RUN = 1 << 20
-PART_BYTES = 128 << 20
+RUN = 4 << 20
+PART_BYTES = 64 << 20
 READ_IDS = 1 << 20
-WORDS_HELD = 400_000
+PIECES_HELD = 400_000
+#: Characters that every Unicode version classes and lower-cases alike, none of which joins with its neighbour.
+PLAIN = "[\n\x21-\x7e¡-¬®-\u012f\u0131-ſ–—‘-”…€]*"
 #: Partitions whose sizes are summed up together.
 SUMMED = 1024
 PART_DDL = "part int, name string, n_docs long, n_null long, n_ids long"
 MANIFEST_DDL = PART_DDL + ", first_doc long, first_id long, id_bytes int"
 
 
-def drops_white_space(path: str) -> bool:
-    """Whether a tokenizer file drops white space before it looks at words, one by one."""
+def word_rule(path: str) -> tuple[str, bool] | None:
+    """The pattern by which a tokenizer file cuts text into pieces and whether it lower-cases first, where it drops
+    white space and looks at pieces one by one as bytes; None for any other file."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     normal = spec.get("normalizer") or {}
     steps = normal.get("normalizers", [normal] if normal else [])
     plain = all(s["type"] in ("NFC", "Lowercase") or (s["type"], s.get("pattern"), s.get("content")) == ("Replace", {"Regex": r"\s+"}, " ") for s in steps)
-    before = spec.get("pre_tokenizer") or {}
-    first = (before.get("pretokenizers") or [before])[0]
-    kept = first.get("pattern", {}).get("Regex", r"\s")
+    before = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    first, then = before[0], before[1:]
+    pattern = first.get("pattern", {}).get("Regex", "")
     split = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert")
-    return bool(plain and split and r"\s" not in kept.replace(r"[^\s", "[^") and " " not in kept and "." not in kept)
+    by_bytes = [(t["type"], t.get("use_regex"), t.get("add_prefix_space")) for t in then] == [("ByteLevel", False, False)]
+    spaces = re.search(r"[ .]|\\s", pattern.replace(r"[^\s", "["))
+    return (pattern, any(s["type"] == "Lowercase" for s in steps)) if plain and split and by_bytes and pattern and not spaces else None
+
+
+class WordIds:
+    """Ids of distinct words. Words are cut by the file's own pattern and each distinct piece is given to the
+    tokenizer's model once; words with unusual characters go to the library whole."""
+
+    def __init__(self, tokenizer, rule: tuple[str, bool]):
+        import regex
+
+        self.tokenizer, self.lower = tokenizer, rule[1]
+        self.cut, self.plain = regex.compile(f"{rule[0]}|\n"), regex.compile(PLAIN)
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.letters = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+        self.forget()
+
+    def forget(self) -> None:
+        self.place, self.ids, self.ends = {}, array("I"), array("q", [0])
+
+    def _hold(self, piece: str, ids: list[int]) -> int:
+        self.ids.extend(ids)
+        self.ends.append(len(self.ids))
+        self.place[piece] = at = len(self.ends) - 2
+        return at
+
+    def _missing(self, piece: str) -> int:
+        letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        return self._hold(piece, [t.id for t in self.tokenizer.model.tokenize(letters)])
+
+    def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one after another, and the word bounds in them. No word holds a line end."""
+        if len(self.place) > PIECES_HELD:
+            self.forget()
+        text, odd = "\n".join(words.to_pylist()), {}
+        if not self.plain.fullmatch(text):
+            listed = text.split("\n")
+            odd = {i: w for i, w in enumerate(listed) if not self.plain.fullmatch(w)}
+            text = "\n".join("" if i in odd else w for i, w in enumerate(listed))
+        held = self.place
+        held["\n"] = -1
+        found = self.cut.findall(text.lower() if self.lower else text)
+        places = np.array([self._missing(p) if (at := held.get(p)) is None else at for p in found], np.int64)
+        line_ends = np.flatnonzero(places < 0)
+        pool, edges = np.frombuffer(self.ids, np.uint32), np.frombuffer(self.ends, np.int64)
+        sizes = np.where(places < 0, 0, edges[places + 1] - edges[places])
+        ids, ends = gathered(pool, np.where(places < 0, 0, edges[places]), sizes)
+        bounds = np.concatenate([[0], ends[line_ends], [len(ids)]]) if len(words) else np.zeros(1, np.int64)
+        if not odd:
+            return ids, bounds
+        own = dict(zip(odd, self.tokenizer.encode_batch_fast(list(odd.values()), add_special_tokens=False)))
+        return _joined([np.array(own[i].ids, np.uint32) if i in own else ids[bounds[i]:bounds[i + 1]] for i in range(len(words))])
+
+
+def gathered(pool: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``pool`` one after another, and their bounds."""
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    return (pool[np.repeat(first - ends[:-1], sizes) + np.arange(ends[-1])] if ends[-1] else pool[:0].copy()), ends
 
 
 class Encoder:
@@ -76,36 +141,26 @@ class Encoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.by_word = drops_white_space(path)
-        self.ids_of_word: dict[str, np.ndarray] = {}
+        rule = word_rule(path)
+        self.words = WordIds(self.tokenizer, rule) if rule and not any(re.search(r"\s", t) for t in self.specials) else None
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _of_words(self, words: list[str]) -> list[np.ndarray]:
-        held = self.ids_of_word
-        if len(held) > WORDS_HELD:
-            held.clear()
-        missing = [w for w in words if w not in held]
-        new = dict(zip(missing, self._library(missing)))
-        held.update((w, ids) for w, ids in new.items() if len(w) <= 64)
-        return [new[w] if w in new else held[w] for w in words]
-
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a string column without nulls, and the row bounds in them."""
-        if not self.by_word:
+        if not self.words:
             return _joined(self._library(column.to_pylist()))
+        split = pc.ascii_split_whitespace(column)
+        words = split.flatten().dictionary_encode()
         special = np.zeros(len(column), bool)
         for s in self.specials:
-            special |= pc.match_substring(column, s).to_numpy(zero_copy_only=False)
-        split = pc.ascii_split_whitespace(pc.if_else(pa.array(special), "", column))
+            if pc.any(pc.match_substring(words.dictionary, s)).as_py():
+                special |= pc.match_substring(column, s).to_numpy(zero_copy_only=False)
+        pool, edges = self.words.of(words.dictionary)
+        place = words.indices.to_numpy()
+        ids, ends = gathered(pool, edges[place], np.diff(edges)[place])
         bounds = split.offsets.to_numpy().astype(np.int64)
-        words = split.flatten().dictionary_encode()
-        pool, edges = _joined(self._of_words(words.dictionary.to_pylist()))
-        index = words.indices.to_numpy()
-        sizes = np.diff(edges)[index]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        ids = pool[np.repeat(edges[:-1][index] - ends[:-1], sizes) + np.arange(ends[-1])]
         row_ends = ends[bounds - bounds[0]]
         if not special.any():
             return ids, row_ends

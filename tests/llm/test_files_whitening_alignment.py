@@ -77,7 +77,7 @@ def test_wide_ids_and_other_tokenizers(spark):
     got = tokenfiles.read_documents(spark, folder, with_ids=True).orderBy("key").collect()
     ids_of = library_ids(BYTES)
     assert [r.ids for r in got] == [[*ids_of("<|endoftext|>"), 70_000], [*ids_of("two  words\n"), 70_000]]
-    assert tokenfiles.drops_white_space(WORDS) and not tokenfiles.drops_white_space(BYTES)
+    assert tokenfiles.word_rule(WORDS)[1] and tokenfiles.word_rule(BYTES) is None
 
 
 def test_bases_over_many_partitions(spark):
