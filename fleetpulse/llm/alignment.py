@@ -226,7 +226,7 @@ def packed_block(number: int, keys: pa.Array, windows: Windows) -> pa.RecordBatc
     own, times, digests = [], [], []
     for k in range(len(keys)):
         w, t = np.unique(windows.place[windows.bounds[k]:windows.bounds[k + 1]], return_counts=True)
-        own.append(w.astype("<u4").tobytes()), times.append(t.astype("<u4").tobytes())
+        own.append(np.diff(w, prepend=0).astype("<u4").tobytes()), times.append(t.astype("<u4").tobytes())
         digests.append(hashlib.sha256(windows.text(k).encode()).hexdigest() if len(w) else "")
     sums = [np.concatenate([[0], np.cumsum(v[windows.place])]) for v in (windows.groups, of_window)]
     n_groups, n_links = (np.diff(v[windows.bounds]) for v in sums)
@@ -284,7 +284,7 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_window = [np.add.reduceat(v[links], starts) if len(starts) else v for v in (count, best)]
         sums = []
         for windows, times in zip(row["windows"], row["times"]):
-            w, t = np.frombuffer(windows, "<u4"), np.frombuffer(times, "<u4").astype(np.int64)
+            w, t = np.cumsum(np.frombuffer(windows, "<u4")), np.frombuffer(times, "<u4").astype(np.int64)  # steps to the places
             sums.append([int((v[w] * t).sum()) for v in of_window])
         longs = [pa.array(row[c], pa.int64()) for c in ("keys", "n_a", "n_b", "n_groups", "n_links")]
         yield pa.RecordBatch.from_arrays([*longs, pa.array([s[1] for s in sums], pa.int64()), pa.array([s[0] for s in sums], pa.int64()), pa.array(row["groups_sha256"], pa.string())],
