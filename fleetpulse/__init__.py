@@ -39,6 +39,9 @@ from fleetpulse.sources.captures import (
     ingest_pair_text, ingest_pressure_load_text, read_captures)
 from fleetpulse.sources.recordings import (
     decode_recording, distinct_observations, load_session, read_recording, recording_catalog, validate_recording)
+from fleetpulse.streaming.changes import timeline_stream
+from fleetpulse.streaming.exports import export_ticks, failure_counter, pending_batches, replay_dead_letters
+from fleetpulse.streaming.losses import record_losses, recorded_losses
 from fleetpulse.streaming.streams import (
     change_stream, export_stream, failure_rows, loss_metrics, run_to_table, stream_counter_rate, stream_distinct, stream_expire,
     stream_paired_latency, stream_state_durations, stream_window_percentiles)

@@ -54,28 +54,31 @@ def _claims(key):
                 F.when((head == "mtu") & (F.size(parts) > 1), claim(3, "link", nothing))), lambda c: c.isNotNull())))
 
 
+def normal_arg():
+    """What an event's claim is compared by: the argument of those scopes that name one, else ''."""
+    return F.when(F.col("scope").isin("sysctl", "iface"), F.coalesce("arg", F.lit(""))).otherwise(F.lit(""))
+
+
 def attribute_changes(changes: DataFrame, events: DataFrame, window: Sequence[str] = ("window_id",),
                       key: str = "key") -> DataFrame:
     """Name the process behind each change: pid, comm; 0 and 'unknown' if nobody can claim it.
 
-    Events are first reduced to the earliest per (window, scope, argument). The
-    join is then an equality with at most one match per claim, whatever the
-    number of events in a window.
+    Events are first reduced to the earliest per (window, scope, argument). Who claims a key depends on
+    (window, key) alone, so only these are expanded into claims and shuffled; changes of any columns, equal
+    ones included, then take the answer of theirs.
     """
     window = list(window)
-    arg = F.when(F.col("scope").isin("sysctl", "iface"), F.coalesce("arg", F.lit(""))).otherwise(F.lit(""))
-    first = (events.withColumn("arg", arg).where((F.col("scope") != "sysctl") | (F.col("arg") != ""))
+    first = (events.withColumn("arg", normal_arg()).where((F.col("scope") != "sysctl") | (F.col("arg") != ""))
              .groupBy(*window, "scope", "arg")
              .agg(F.min_by(F.struct("pid", "comm"), "seq").alias("__who"), F.min("seq").alias("__seq")))
-    identity = list(changes.columns)
-    claims = changes.select(*identity, F.explode_outer(_claims(F.col(key))).alias("__claim")).select(
-        *identity, F.col("__claim.priority").alias("__priority"),
-        F.col("__claim.scope").alias("scope"), F.col("__claim.arg").alias("arg"))
-    hits = claims.join(first, [*window, "scope", "arg"], "left")
-    rank = F.when(F.col("__seq").isNotNull(), F.struct("__priority", "__seq"))
-    return (hits.groupBy(*identity).agg(F.min_by("__who", rank).alias("__who"))
-            .select(*identity, F.coalesce(F.col("__who.pid"), F.lit(0)).alias("pid"),
-                    F.coalesce(F.col("__who.comm"), F.lit("unknown")).alias("comm")))
+    asked = changes.select(*window, F.col(key).alias("__key")).where(F.col("__key").isNotNull()).distinct()
+    claims = asked.select(*window, "__key", F.explode(_claims(F.col("__key"))).alias("__claim")).select(
+        *window, "__key", F.col("__claim.priority").alias("__priority"), F.col("__claim.scope").alias("scope"), F.col("__claim.arg").alias("arg"))
+    hits = claims.join(first, [*window, "scope", "arg"])
+    found = hits.groupBy(*window, "__key").agg(F.min_by("__who", F.struct("__priority", "__seq")).alias("__who"))
+    named = changes.withColumn("__key", F.col(key)).join(found, [*window, "__key"], "left")
+    return named.select(*changes.columns, F.coalesce(F.col("__who.pid"), F.lit(0)).alias("pid"),
+                        F.coalesce(F.col("__who.comm"), F.lit("unknown")).alias("comm"))
 
 
 def stamp_changes(changes: DataFrame, pid: int, comm: str) -> DataFrame:

@@ -6,13 +6,16 @@ from pyspark.sql import functions as F
 
 from fleetpulse.functions.text import encode_labels
 from fleetpulse.plans.adapters import (
-    ACTION_OF_EVENT, CENTS, CONFIG_OBS, DAY_US, DIFF, HOUR_US, OBS_GAUGE, bound_sql, cents, config_obs, percentiles_sql,
-    table)
+    ACTION_OF_EVENT, CENTS, CHANGE_EVENTS, CONFIG_OBS, DAY_US, DIFF, FIRST_WEEK, HOUR_US, OBS_GAUGE, WEEK_US, WEEKS, bound_sql, cents,
+    change_events, config_obs, percentiles_sql, table)
+from fleetpulse.plans.config_plans import _ATTRIBUTED
 from fleetpulse.plans.rate_plans import _chain_sql
 from fleetpulse.plans.registry import plan
 from fleetpulse.plans.span_plans import _PAIRS, _STATES
 from fleetpulse.session import scratch
 from fleetpulse.streaming import streams as S
+from fleetpulse.streaming.exports import export_ticks, failure_counter
+from fleetpulse.streaming.losses import record_losses, recorded_losses
 
 
 def event_stream(spark, sf, closed=False):
@@ -92,15 +95,54 @@ def stream_paired_latency(spark, sf):
     return out
 
 
-@plan("change_stream", f"WITH {CONFIG_OBS}{DIFF} SELECT hostname, snapshot, key, old_value, new_value FROM diff")
-def change_stream(spark, sf):
-    # Snapshots become one row each (a handful of keys), written as the stream's source table.
+def _in_turns(spark, rows, turn, turns, name):
+    """``rows`` as a stream of ``turns`` files, one a micro-batch, by the column expression ``turn`` (0 to turns - 1), and a last
+    file of one row of host 'closing' a thousand weeks on."""
+    source = scratch(spark, name)
+    held = scratch(spark, f"{name}-held")
+    rows.withColumn("__turn", turn).write.partitionBy("__turn").parquet(held)
+    for k in range(turns):
+        spark.read.schema(rows.schema).parquet(f"{held}/__turn={k}").coalesce(1).write.mode("append").parquet(source)
+    far = rows.agg((F.max("ts") + F.expr("INTERVAL 7000 DAYS")).alias("ts"))
+    given = {"hostname": "closing", "snapshot": 0, "window_id": 0, "scope": "link", "seq": 0, "pid": 0}
+    closing = far.select(*[F.col("ts") if f.name == "ts" else F.create_map().cast(f.dataType).alias(f.name) if f.name == "config" else
+                           F.lit(given.get(f.name)).cast(f.dataType).alias(f.name) for f in rows.schema])
+    closing.coalesce(1).write.mode("append").parquet(source)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+
+
+def _polls(spark, sf):
+    """Weekly snapshots, one row per host and week; of every three hosts one reports a week late, one two weeks."""
     maps = config_obs(spark, sf).groupBy("hostname", "snapshot").agg(
         F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("config"))
-    source = scratch(spark, "config_snapshots")
-    maps.write.parquet(source)
-    stream = spark.readStream.schema(maps.schema).parquet(source)
-    out, _ = S.run_to_table(S.change_stream(stream), "change_stream")
+    return maps.withColumn("ts", F.timestamp_micros((F.col("snapshot") + 1) * WEEK_US))
+
+
+def _turn(week):
+    """Which of three files a row comes in: by its week, moved by up to two weeks by its host."""
+    late = week + F.pmod(F.hash("hostname"), F.lit(3)) - FIRST_WEEK
+    return F.greatest(F.least(F.floor(late * 3 / WEEKS), F.lit(2)), F.lit(0)).cast("int")
+
+
+@plan("change_stream", f"WITH {CONFIG_OBS}{DIFF} SELECT hostname, snapshot, key, old_value, new_value FROM diff")
+def change_stream(spark, sf):
+    # Files of a third of the weeks each; at their edges snapshots come out of order, two weeks at most.
+    stream = _in_turns(spark, _polls(spark, sf), _turn(F.col("snapshot")), 3, "config_snapshots")
+    out, _ = S.run_to_table(S.change_stream(stream, delay="28 days"), "change_stream")
+    return out
+
+
+_HOST_CLAIMS = CHANGE_EVENTS.replace("AS window_id,", "AS window_id, CAST(user_id % 20 AS VARCHAR) AS hostname,", 1)
+_OF_HOST = _ATTRIBUTED.replace("a.window_id = d.snapshot", "a.window_id = d.snapshot AND a.hostname = d.hostname", 1)
+
+
+@plan("change_stream_attributed", f"WITH {CONFIG_OBS}{DIFF}, {_HOST_CLAIMS}, {_OF_HOST} SELECT * FROM named")
+def change_stream_attributed(spark, sf):
+    claims = change_events(spark, sf).withColumns({
+        "hostname": (F.col("pid") % 20).cast("string"), "ts": F.timestamp_micros(F.col("window_id") * WEEK_US + F.col("seq") % WEEK_US)})
+    polls = _in_turns(spark, _polls(spark, sf).withColumn("window_id", F.col("snapshot")), _turn(F.col("snapshot")), 3, "polls")
+    stream = _in_turns(spark, claims, _turn(F.col("window_id")), 3, "claims")
+    out, _ = S.run_to_table(S.change_stream(polls, stream, delay="28 days"), "change_stream_attributed")
     return out
 
 
@@ -116,8 +158,45 @@ def stream_distinct(spark, sf):
 @plan("loss_metrics", "SELECT 'stream/input_rows' AS name, count(*) AS raw FROM events UNION ALL SELECT 'stream/dropped_rows', 0")
 def loss_metrics(spark, sf):
     rows = event_stream(spark, sf).withWatermark("ts", "1 minute").groupBy(F.window("ts", "1 day"), "event_type").count()
-    _, query = S.run_to_table(rows, "loss")
-    return S.loss_metrics(query).groupBy("name").agg(F.sum("raw").alias("raw"))
+    reports = scratch(spark, "losses")
+    recorder = record_losses(spark, reports)
+    try:
+        _, query = S.run_to_table(rows, "loss")
+        recorder.wait_for(query)
+    finally:
+        spark.streams.removeListener(recorder)
+    own = recorded_losses(spark, reports).where(F.col("labels")["query"] == "loss")
+    return own.groupBy("name").agg(F.sum("raw").alias("raw"))
+
+
+@plan("export_failures", f"""SELECT 'exporter/sink/export_failures' AS name, CAST(tick AS VARCHAR) AS label, CAST(failures AS BIGINT) AS raw, CAST(pending AS BIGINT) AS pending
+FROM (VALUES (0, 0, 0), (1, 1, 1), (2, 1, 0), (3, 2, 1), (4, 2, 0)) t(tick, failures, pending)
+UNION ALL SELECT 'exported/cents', event_type, CAST(sum({CENTS}) AS BIGINT), count(*) FROM events GROUP BY event_type""")
+def export_failures(spark, sf):
+    """A sink that refuses its second and fourth batch at first: the counter at every tick, and what it has in the end."""
+    rows = event_stream_in(spark, sf, 5).select("event_type", "raw")
+    path, letters, refused = scratch(spark, "export"), scratch(spark, "dead-letters"), {1, 3}
+
+    def sink(batch, batch_id):
+        if batch_id in refused:
+            refused.remove(batch_id)
+            raise ConnectionError("sink down")
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    S.export_stream(rows, sink, checkpoint=scratch(spark, "export-checkpoint"), drain=True, dead_letters=letters).awaitTermination()
+    counted = failure_counter(spark, letters, "table").join(export_ticks(spark, letters).select("tick", "pending"), "tick").select(
+        "name", F.col("tick").cast("string").alias("label"), "raw", "pending")
+    taken = spark.read.schema("event_type string, raw bigint, batch int").parquet(path).groupBy("event_type").agg(
+        F.sum("raw").alias("raw"), F.count(F.lit(1)).alias("pending"))
+    return counted.unionByName(taken.select(F.lit("exported/cents").alias("name"), F.col("event_type").alias("label"), "raw", "pending"))
+
+
+def event_stream_in(spark, sf, files):
+    """The events as a stream of so many files, one a micro-batch."""
+    source = scratch(spark, "event-files")
+    table(spark, sf, "events").repartition(files, F.col("event_id") % files, F.col("event_id")).write.parquet(source)
+    schema = table(spark, sf, "events").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source).withColumn("raw", cents())
 
 
 @plan("export_stream", f"SELECT event_type, count(*) AS n, CAST(sum({CENTS}) AS BIGINT) AS total FROM events GROUP BY event_type")

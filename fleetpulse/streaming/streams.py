@@ -21,6 +21,8 @@ from fleetpulse.operators.joins import attribute_changes
 from fleetpulse.operators.rates import ordered_long, rates_of_chain
 from fleetpulse.schema import SERIES
 from fleetpulse.session import scratch
+from fleetpulse.streaming.changes import timeline_stream
+from fleetpulse.streaming.exports import tolerant_export
 from fleetpulse.streaming.processors import ConfigHistory, Durations, Expiry, KeptChain, Pairs
 
 
@@ -112,13 +114,23 @@ def stream_paired_latency(df: DataFrame, keys: Sequence[str] = ("sock",), tie: s
     return done.withColumn("bound", h2_bound("us", KERNEL_GROUPING, 52))
 
 
-def change_stream(snapshots: DataFrame, events: DataFrame | None = None, window: Sequence[str] = ("window_id",)) -> DataFrame:
-    """Changes as snapshots (hostname, snapshot, config map) arrive.
+def change_stream(snapshots: DataFrame, events: DataFrame | None = None, window: Sequence[str] = ("window_id",), delay="60 s",
+                  drain="0 s") -> DataFrame:
+    """Changes as snapshots (hostname, ts, snapshot, config map) arrive.
 
-    A full snapshot is a full poll, so a missed event only delays a change. With
-    static ``events`` each change is attributed inside ``foreachBatch`` or here in batch.
+    A full snapshot is a full poll, so a missed event only delays a change. Snapshots wait for the watermark and are compared in
+    event-time order; streamed ``events`` (hostname, ts, the window column, seq, pid, comm, scope, arg) are
+    joined in the same state, see :func:`timeline_stream`. Without ``ts`` snapshots are taken as they come, each host's in rising order,
+    an older one is no change; then static ``events`` attribute each change inside ``foreachBatch`` or here in batch.
     """
     keys = ["hostname"]
+    if "ts" in snapshots.columns:
+        if events is not None and not events.isStreaming:
+            raise ValueError("events of timed snapshots come as a stream")
+        column = window[0] if events is not None and window[0] in snapshots.columns else None
+        if events is not None and column is None:
+            snapshots, column = snapshots.withColumn(window[0], F.col("snapshot")), window[0]
+        return timeline_stream(snapshots, events, keys, column, delay, drain)
     rows = snapshots.select(*keys, "snapshot", F.map_entries("config").alias("config"))
     text = T.StringType()
     out = _schema(rows, keys, ("snapshot", T.LongType()), ("key", text), ("old_value", text), ("new_value", text))
@@ -134,13 +146,19 @@ def stream_distinct(df: DataFrame, columns: Sequence[str], delay="60 s") -> Data
 
 
 def export_stream(df: DataFrame, sink: Callable[[DataFrame, int], None], every="10 seconds", *, checkpoint: str,
-                  name: str = "export", drain: bool = False, on_failure: Callable[[int, Exception], None] | None = None) -> StreamingQuery:
+                  name: str = "export", drain: bool = False, on_failure: Callable[[int, Exception], None] | None = None,
+                  dead_letters: str | None = None) -> StreamingQuery:
     """Push a stream to ``sink`` on its own cadence.
 
     A failing sink is reported to ``on_failure`` and stops the query; the batch
     is replayed from the checkpoint on restart, so nothing is lost or exported again silently.
+    With a folder for ``dead_letters`` the query goes on instead: failed batches are kept there and sent again,
+    and each tick records the failures so far (:mod:`fleetpulse.streaming.exports`).
     ``drain`` exports everything available and ends.
     """
+    if dead_letters is not None:
+        return tolerant_export(df, sink, dead_letters, every, checkpoint=checkpoint, name=name, drain=drain, on_failure=on_failure)
+
     def push(batch: DataFrame, batch_id: int) -> None:
         try:
             sink(batch, batch_id)
@@ -163,7 +181,8 @@ def failure_rows(spark: SparkSession, sink: str, failures: Sequence[tuple[int, s
 def loss_metrics(query: StreamingQuery) -> DataFrame:
     """Rows behind the watermark and rows read, per micro-batch, as observations.
 
-    Progress reports are a bounded list kept by Spark.
+    Read from the progress reports that Spark still holds (the last hundred); for the whole of a run, and after it,
+    use :func:`record_losses`.
     """
     spark = query.sparkSession if hasattr(query, "sparkSession") else SparkSession.getActiveSession()
     rows = []
