@@ -13,7 +13,7 @@ from fleetpulse.functions.h2 import (
     h2_bound_of_index, is_clamped)
 from fleetpulse.functions.percentiles import percentiles_from_buckets
 from fleetpulse.operators.chunks import DEFAULT_CHUNK, asof_join
-from fleetpulse.operators.spacing import spaced_rows
+from fleetpulse.operators.spacing import spaced_times
 from fleetpulse.schema import ROLLUP_COLUMNS, ROLLUP_PERCENTILES, SERIES
 
 
@@ -114,11 +114,13 @@ def windowed_distribution(df: DataFrame, window="60 s", thin: bool = False, keys
     """
     keys = list(keys)
     readings = df.select(*keys, "ts", F.col(buckets).alias("__now"))
-    checkpoints = readings
-    if thin:
-        checkpoints = spaced_rows(readings, keys, "ts", micros(window) // 8 / 1e6, chunk=chunk)
-    base = checkpoints.select(*keys, F.col("ts").alias("baseline_ts"), F.col("__now").alias("__base"))
-    joined = asof_join(readings, base, keys, "ts", "baseline_ts", ["baseline_ts", "__base"], chunk, shift=window)
+    # Which baseline a reading has is found on times alone; arrays then meet by equality.
+    times = readings.select(*keys, "ts").distinct()
+    checkpoints = spaced_times(times, keys, "ts", micros(window) // 8 / 1e6, chunk=chunk) if thin else times
+    base = checkpoints.select(*keys, F.col("ts").alias("baseline_ts"))
+    chosen = asof_join(times, base, keys, "ts", "baseline_ts", ["baseline_ts"], chunk, shift=window)
+    arrays = readings.dropDuplicates([*keys, "ts"]).select(*keys, F.col("ts").alias("baseline_ts"), F.col("__now").alias("__base"))
+    joined = readings.join(chosen, [*keys, "ts"], "left").join(arrays, [*keys, "baseline_ts"], "left")
     full = F.transform("__now", lambda b: F.struct(
         b["bound"].alias("bound"), b["count"].cast("bigint").alias("count")))
     return joined.select(

@@ -10,8 +10,8 @@ Two facts keep it distributed and exact:
 * otherwise a chunk of a series is a function from the last kept row before it
   to the last kept row in it, and only rows within two gaps of the chunk's
   start can be that entry. Only such chunks, and their neighbours, go to
-  Python: they evaluate the function in parallel, one small table per series
-  composes them, and a second pass replays each chunk.
+  Python: they evaluate the function in parallel, a tree composes the functions
+  (:mod:`fleetpulse.operators.composition`), and a second pass replays each chunk.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from fleetpulse.durations import micros
 from fleetpulse.operators.chunks import CHUNK, DEFAULT_CHUNK, SEED, seeded
+from fleetpulse.operators.composition import compose
 
 _LONGS = ("__t", "__tie", "__v")
 
@@ -64,8 +65,11 @@ def _transitions(gap: int, columns: list[str]):
                 break
             leave = further
         entries = np.array([halo + sync[-1]]) if len(sync) else np.arange(halo)
+        # Chains that start apart mostly meet within a chunk: then the entry makes no difference to its end.
+        met = len(np.unique(leave[entries])) == 1
+        entries = entries[:1] if met else entries
         out = pdf.iloc[leave[entries]][list(_LONGS)].rename(columns={c: f"{c}_out" for c in _LONGS})
-        out["__free"] = len(sync) > 0
+        out["__free"] = met
         out["__t_in"] = t[entries]
         out["__tie_in"] = pdf["__tie"].to_numpy(np.int64)[entries]
         for c in ("__before", *columns):
@@ -74,30 +78,6 @@ def _transitions(gap: int, columns: list[str]):
     return run
 
 
-def _compose(columns: list[str]):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, states, entered = [], [], []
-        state = chunk = None
-        for at, part in pdf.groupby(CHUNK, sort=True):
-            # Without its direct predecessor a chunk starts on a decided row.
-            if chunk is None or part["__before"].iloc[0] != chunk:
-                state = None
-            keys.append([part[c].iloc[0] for c in columns])
-            entered.append(state is not None)
-            states.append(state or (0, 0, 0))
-            if part["__free"].iloc[0]:
-                hit = part
-            else:
-                hit = part[(part["__t_in"] == state[0]) & (part["__tie_in"] == state[1])]
-            state, chunk = tuple(int(hit[f"{c}_out"].iloc[0]) for c in _LONGS), at
-        out = pd.DataFrame(keys, columns=columns)
-        out["__entered"] = np.array(entered, dtype=bool)
-        out["__t_prev"] = np.array([s[0] for s in states], dtype=np.int64)
-        out["__v_prev"] = np.array([s[2] for s in states], dtype=np.int64)
-        return out
-    return run
-
-
 def _replay(gap: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["__t", "__tie"], kind="stable").reset_index(drop=True)
@@ -200,9 +180,7 @@ def kept_chain(df: DataFrame, keys: Sequence[str], ts: str, min_gap, value: str
         _transitions(gap, columns),
         T.StructType([*longs("__t_out", "__tie_out", "__v_out"),
                       T.StructField("__free", T.BooleanType()), *longs("__t_in", "__tie_in", "__before"), *key_fields]))
-    entries = maps.groupBy(*keys).applyInPandas(
-        _compose(columns), T.StructType([
-            *key_fields, T.StructField("__entered", T.BooleanType()), *longs("__t_prev", "__v_prev")]))
+    entries = compose(maps, keys, CHUNK, width).drop("__tie_prev")
     # Every group has an entry row. A left join adds no not-null filter below the
     # exchange of ``held``, so both passes read the same shuffle.
     joined = held.join(entries, columns, "left")
@@ -213,9 +191,11 @@ def kept_chain(df: DataFrame, keys: Sequence[str], ts: str, min_gap, value: str
     return direct.unionByName(rest)
 
 
+def spaced_times(df: DataFrame, keys: Sequence[str], ts: str, min_gap, chunk=DEFAULT_CHUNK) -> DataFrame:
+    """keys and times of the rows kept when each must lie ``min_gap`` after the row kept before it."""
+    return kept_chain(df, keys, ts, min_gap, chunk=chunk).select(*keys, F.timestamp_micros("us").alias(ts))
+
+
 def spaced_rows(df: DataFrame, keys: Sequence[str], ts: str, min_gap, chunk=DEFAULT_CHUNK) -> DataFrame:
     """The rows of ``df`` kept when each must lie ``min_gap`` after the row kept before it."""
-    keys = list(keys)
-    kept = kept_chain(df, keys, ts, min_gap, chunk=chunk).select(
-        *keys, F.timestamp_micros("us").alias(ts))
-    return df.join(kept, [*keys, ts], "left_semi")
+    return df.join(spaced_times(df, keys, ts, min_gap, chunk), [*keys, ts], "left_semi")
