@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from fleetpulse.durations import micros
 from fleetpulse.functions.text import encode_labels
@@ -107,17 +107,83 @@ def annotate(df: DataFrame, changes: DataFrame, before="60 s", after="60 s", key
     return rows.join(spans, [*keys, "__cell"]).where(inside).drop("__cell")
 
 
+def _span_sums(df: DataFrame, spans: DataFrame, keys: Sequence[str], series: Sequence[str], value: str,
+               pane: int) -> DataFrame:
+    """Partial sums and counts of every span ``[__lo, __hi)`` (microseconds), per series met in it.
+
+    Time is cut into panes no longer than a span. Panes wholly inside a span are summed once and looked up;
+    in its two edge panes the span's borders are sorted in among the rows, so a border reads a running
+    sum from its side of the pane: no row is paired with a change, and nothing is subtracted.
+    """
+    lo, hi, at = F.col("__lo"), F.col("__hi"), F.col("__at")
+    grain = [*keys, *series, "__pane"]
+
+    def cell(us):
+        return us - F.pmod(us, F.lit(pane))
+
+    touched = spans.withColumn("__pane", F.explode(F.sequence(cell(lo), cell(hi - 1), F.lit(pane).cast("bigint"))))
+    held = F.col(value) if isinstance(df.schema[value].dataType, T.DecimalType) else F.col(value).cast("double")
+    rows = (df.where(F.col("ts").isNotNull())
+            .select(*keys, *series, F.unix_micros("ts").alias("__at"), held.alias("__value"), F.lit(1).alias("__row"))
+            .withColumn("__pane", cell(at)))
+    # Rows far from any change go before the shuffle where the changes are few.
+    near = rows.join(touched.select(*keys, "__pane"), [*keys, "__pane"], "left_semi")
+    sums = [F.sum("__value").alias("__sum"), F.count("__value").alias("__known"), F.count("__row").alias("__n")]
+    met = touched.join(near.groupBy(*grain).agg(*sums), [*keys, "__pane"])
+    first, inside = F.col("__pane") < lo, (F.col("__pane") >= lo) & (F.col("__pane") + pane <= hi)
+    parts = ["__span", *series, "__sum", "__known", "__n"]
+    borders = met.where(~inside).select(*grain, "__span", first.alias("__first"), F.when(first, lo).otherwise(hi).alias("__at"))
+    mixed = near.unionByName(borders, allowMissingColumns=True)
+    upto = Window.partitionBy(*grain).orderBy("__at").rangeBetween(Window.unboundedPreceding, -1)
+    since = Window.partitionBy(*grain).orderBy(F.desc("__at")).rangeBetween(Window.unboundedPreceding, 0)
+    read = mixed.select(*grain, "__span", "__first", *[
+        side(c).over(w).alias(f"{n}_{name}") for name, w in (("upto", upto), ("since", since))
+        for n, side, c in (("sum", F.sum, "__value"), ("known", F.count, "__value"), ("n", F.count, "__row"))])
+    edges = read.where(F.col("__span").isNotNull()).select(*keys, "__span", *series, *[
+        F.when(F.col("__first"), F.col(f"{n}_since")).otherwise(F.col(f"{n}_upto")).alias(f"__{n}") for n in ("sum", "known", "n")])
+    return met.where(inside).select(*keys, *parts).unionByName(edges)
+
+
 def before_after(df: DataFrame, changes: DataFrame, before="60 s", after="60 s", value: str = "value",
                  keys: Sequence[str] = (), change_id: Sequence[str] = ("change_ts",),
-                 by: Sequence[str] = (), change_ts: str = "change_ts") -> DataFrame:
-    """Mean of a metric before and from each change instant, with difference and percent."""
-    held = annotate(df, changes, before, after, keys, change_ts)
-    prior = F.col("ts") < F.col(change_ts)
-    grouped = held.groupBy(*dict.fromkeys([*keys, *change_id, *by])).agg(
-        F.avg(F.when(prior, F.col(value))).alias("before"), F.avg(F.when(~prior, F.col(value))).alias("after"),
-        F.count_if(prior).alias("n_before"), F.count_if(~prior).alias("n_after"))
+                 by: Sequence[str] = (), change_ts: str = "change_ts", panes: int = 16) -> DataFrame:
+    """Mean of a metric in ``[change - before, change)`` and ``[change, change + after]``, with difference and percent.
+
+    ``keys`` and ``change_id`` are columns of the changes, ``by`` of the observations. Work grows with rows plus
+    changes: a change is looked up once per pane, ``panes`` to the shorter span (as many times more to the longer
+    one, up to ``panes`` times; beyond that each span has panes of its own). A series in a pane meets in one task,
+    so dense series want more panes. Rows without time, changes without time and null keys match nothing.
+    """
+    keys = list(keys)
+    ids = [c for c in dict.fromkeys(change_id) if c not in keys]
+    series = [c for c in dict.fromkeys(by) if c not in keys and c not in ids]
+    b, a, when = micros(before), micros(after) + 1, F.unix_micros(change_ts)
+    lengths = {prior: n for prior, n in ((True, b), (False, a)) if n > 0}
+    joint = len(lengths) < 2 or max(lengths.values()) <= panes * min(lengths.values())
+    parts = None
+    for sides in [list(lengths)] if joint else [[side] for side in lengths]:
+        edges = F.array(*[F.struct(F.lit(prior).alias("prior"), (when - b if prior else when).alias("lo"),
+                                   (when if prior else when + a).alias("hi")) for prior in sides])
+        spans = (changes.where(F.col(change_ts).isNotNull()).withColumn("__side", F.explode(edges))
+                 .select(*keys, F.col("__side.lo").alias("__lo"), F.col("__side.hi").alias("__hi"),
+                         F.struct(F.col("__side.prior").alias("prior"), *[F.col(c).alias(f"id{i}") for i, c in enumerate(ids)]).alias("__span")))
+        pane = max(1, min(lengths[side] for side in sides) // panes)
+        got = _span_sums(df, spans, keys, series, value, pane)
+        parts = got if parts is None else parts.unionByName(got)
+    prior, mean = F.col("__span.prior"), df.select(F.avg(value)).schema[0].dataType
+
+    def side(which, column):
+        return F.sum(F.when(which, F.col(column)))
+
+    def average(which):
+        return (side(which, "__sum") / F.nullif(side(which, "__known"), F.lit(0))).cast(mean)
+
+    names = [F.col(f"__span.id{i}").alias(c) for i, c in enumerate(ids)]
+    grouped = parts.groupBy(*keys, *names, *series).agg(
+        average(prior).alias("before"), average(~prior).alias("after"),
+        F.coalesce(side(prior, "__n"), F.lit(0)).alias("n_before"), F.coalesce(side(~prior, "__n"), F.lit(0)).alias("n_after"))
     delta = F.col("after") - F.col("before")
-    return grouped.withColumns({
+    return grouped.where(F.col("n_before") + F.col("n_after") > 0).withColumns({
         "delta": delta, "percent": delta / F.nullif(F.col("before"), F.lit(0.0)) * F.lit(100.0)})
 
 
