@@ -22,9 +22,10 @@ from fleetpulse.operators.joins import (
     alias_fold, annotate, attribute_changes, before_after, enrich_context, multipath_head, sources_side_by_side, stamp_changes)
 from fleetpulse.operators.rates import (
     counter_rate, entity_delta, irate, layout_guard, multiplex_scale, queue_delta, queue_delta_guarded, raw_rate)
+from fleetpulse.operators.paging import page
 from fleetpulse.operators.rollups import (
     bandwidth, busiest_cores, coverage_gate, coverage_tuples, distinct_names, expected_active, first_n_series, flow_health,
-    kind_unit_shapes, label_facets, latest_snapshot, metric_catalog, page, panel_stats, peak_by_label, pivot_percentiles,
+    kind_unit_shapes, label_facets, latest_snapshot, metric_catalog, panel_stats, peak_by_label, pivot_percentiles,
     port_retransmits, port_rtt, queue_balance, queue_cv, register_views, session_overview, sum_of_rates_by_label,
     sum_over_label, time_bucket_max)
 from fleetpulse.operators.spacing import kept_chain, spaced_rows

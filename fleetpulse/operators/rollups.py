@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from fleetpulse.durations import micros
 from fleetpulse.functions.network import service_port, to_gbps
 from fleetpulse.functions.text import encode_labels
-from fleetpulse.operators.chunks import CHUNK, DEFAULT_CHUNK, chunk_of, running_total, with_previous
+from fleetpulse.operators.chunks import running_total, with_previous
 from fleetpulse.operators.filters import label_filter, name_filter
 from fleetpulse.operators.rates import entity_delta, irate
 from fleetpulse.schema import SERIES
@@ -243,29 +243,6 @@ def distinct_names(df: DataFrame, substring: str = "") -> DataFrame:
     return name_filter(df, icontains=substring).select("name").distinct().orderBy("name")
 
 
-def page(df: DataFrame, number: int, size: int = 50, order: Sequence[str] = ("ts", "labels_key", "raw"),
-         chunk=DEFAULT_CHUNK) -> DataFrame:
-    """Rows of one page of the ordered selection, the number clamped to the last page.
-
-    Row counts per time chunk locate the page; only the chunks it touches are
-    sorted, so a deep page costs no more than the first.
-    """
-    rows = df.withColumn(CHUNK, chunk_of(df, order[0], chunk))
-    upto = Window.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy()
-    counts = (rows.groupBy(CHUNK).agg(F.count(F.lit(1)).alias("__n"))
-              .withColumn("__end", F.sum("__n").over(upto)).withColumn("__total", F.sum("__n").over(whole)))
-    last = F.greatest(F.ceil(F.col("__total") / F.lit(size)) - 1, F.lit(0))
-    first = F.least(F.lit(number), last) * F.lit(size)
-    touched = (counts.withColumn("__first", first).withColumn("__begin", F.col("__end") - F.col("__n"))
-               .where((F.col("__end") > F.col("__first")) & (F.col("__begin") < F.col("__first") + F.lit(size)))
-               .select(CHUNK, "__begin", "__first"))
-    ranked = rows.join(touched, CHUNK).withColumn(
-        "row", F.col("__begin") + F.row_number().over(Window.partitionBy(CHUNK).orderBy(*order)) - 1)
-    return (ranked.where((F.col("row") >= F.col("__first")) & (F.col("row") < F.col("__first") + F.lit(size)))
-            .drop(CHUNK, "__begin", "__first"))
-
-
 def register_views(spark, **frames: DataFrame) -> None:
     """Make the telemetry tables available to ``spark.sql``."""
     for name, frame in frames.items():

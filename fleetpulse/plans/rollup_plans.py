@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetpulse.operators import filters as FL, rollups as A
+from fleetpulse.operators.paging import page as paged
 from fleetpulse.plans.adapters import (
-    CPU_SAMPLES, HOUR_US, OBS_GAUGE, SAMPLES, cpu_samples, obs_gauge, round_sql, samples, table)
+    CENTS, CPU_SAMPLES, HOUR_US, OBS_GAUGE, SAMPLES, cents, cpu_samples, events, obs_gauge, round_sql, samples, table)
 from fleetpulse.plans.registry import plan
 
 RX, TX = A.RX, A.TX
@@ -158,13 +159,25 @@ def peak_by_label(spark, sf):
 @plan("page", f"""WITH {OBS_GAUGE}, r AS (SELECT us, labels_key, raw, row_number() OVER (ORDER BY us, labels_key, raw) - 1 AS row FROM obs)
 SELECT us, labels_key, raw, row FROM r WHERE row BETWEEN 350 AND 399""")
 def page(spark, sf):
-    return A.page(obs_gauge(spark, sf), 7, 50, chunk="1 day").select(F.unix_micros("ts").alias("us"), "labels_key", "raw", F.col("row").cast("bigint").alias("row"))
+    return paged(obs_gauge(spark, sf), 7, 50, chunk="1 day").select(F.unix_micros("ts").alias("us"), "labels_key", "raw", F.col("row").cast("bigint").alias("row"))
 
 
 @plan("page_clamped", f"""WITH {OBS_GAUGE}, r AS (SELECT us, labels_key, raw, row_number() OVER (ORDER BY us, labels_key, raw) - 1 AS row, count(*) OVER () AS n FROM obs)
 SELECT us, labels_key, raw, row FROM r WHERE row >= (n - 1) // 50 * 50""")
 def page_clamped(spark, sf):
-    return A.page(obs_gauge(spark, sf), 10**9, 50, chunk="1 day").select(F.unix_micros("ts").alias("us"), "labels_key", "raw", F.col("row").cast("bigint").alias("row"))
+    return paged(obs_gauge(spark, sf), 10**9, 50, chunk="1 day").select(F.unix_micros("ts").alias("us"), "labels_key", "raw", F.col("row").cast("bigint").alias("row"))
+
+
+@plan("page_in_ties", f"""WITH t AS (SELECT user_id % 3 AS day, event_type AS labels_key, {CENTS} AS raw, event_id FROM events),
+r AS (SELECT *, row_number() OVER (ORDER BY day, labels_key, raw, event_id) - 1 AS row, count(*) OVER () AS n FROM t)
+SELECT day, labels_key, raw, event_id, row FROM r WHERE row >= n // 2 // 200 * 200 AND row < n // 2 // 200 * 200 + 200""")
+def page_in_ties(spark, sf):
+    """The middle page where a third of all rows share each time: narrowed by the other columns, few rows sorted."""
+    rows = events(spark, sf).select(F.timestamp_seconds((F.col("user_id") % 3) * 86400).alias("ts"), F.col("event_type").alias("labels_key"),
+                                    cents().alias("raw"), "event_id")
+    middle = rows.count() // 2 // 200
+    out = paged(rows, middle, 200, chunk="1 day", few=2000)
+    return out.select((F.unix_seconds("ts") / 86400).cast("bigint").alias("day"), "labels_key", F.col("raw").cast("bigint").alias("raw"), "event_id", "row")
 
 
 @plan("distinct_names", """SELECT DISTINCT p_name || '/' || p_type AS name FROM part WHERE contains(lower(p_name || '/' || p_type), 'ring/e')""")
