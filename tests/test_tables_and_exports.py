@@ -18,26 +18,26 @@ def snapshot(spark, *rows):
     return df.withColumn("ts", F.lit("2024-01-01 00:00:01").cast("timestamp"))
 
 
-TX = ("net/tx-bytes", {"dev": "eth0"}, "counter", "bytes", 50000, [(100000, 90), (900000, 10)])
+SENT = ("fabric/sent-octets", {"lane": "q7"}, "counter", "bytes", 73110, [(2303, 41), (8191, 3)])
 
 
 def test_exposition_families(spark):
-    rows = [TX, ("net/tx-bytes", {"dev": "eth1"}, *TX[2:]), ("tcp/rtt_us", {"source": "ebpf"}, "distribution", "count", 7, [(5, 7)]),
+    rows = [SENT, ("fabric/sent-octets", {"lane": "q8"}, *SENT[2:]), ("tcp/rtt_us", {"source": "ebpf"}, "distribution", "count", 7, [(5, 7)]),
             ("tcp/rtt_us", {"port": "443"}, "gauge", "count", 9, [(9, 1)]), ("x", {"a": 'q"\\\n'}, "gauge", "none", 1, [])]
     text = [r.value for r in exposition_text(snapshot(spark, *rows), (50, 99)).collect()]
-    assert 'net_tx_bytes{dev="eth0"} 50000' in text and 'net_tx_bytes_rate{dev="eth0",percentile="99"} 900000' in text
+    assert 'fabric_sent_octets{lane="q7"} 73110' in text and 'fabric_sent_octets_rate{lane="q7",percentile="99"} 8191' in text
     types = [t for t in text if t.startswith("# TYPE")]
-    assert len(types) == len(set(types)) and text.count("# TYPE net_tx_bytes counter") == 1
+    assert len(types) == len(set(types)) and text.count("# TYPE fabric_sent_octets counter") == 1
     assert {"# TYPE tcp_rtt_us gauge", "# TYPE tcp_rtt_us_count counter", "# TYPE tcp_rtt_us_rate gauge", "# TYPE tcp_rtt_us_value gauge"} <= set(types)
     assert 'x{a="q\\"\\\\\\n"} 1' in text and 'x_value{a="q\\"\\\\\\n",percentile="50"} 0' in text
     families = [t.split()[2] for t in types]
     assert families == sorted(families)
-    assert text.index("# TYPE net_tx_bytes counter") + 1 == text.index('net_tx_bytes{dev="eth0"} 50000')
+    assert text.index("# TYPE fabric_sent_octets counter") + 1 == text.index('fabric_sent_octets{lane="q7"} 73110')
 
 
 def test_json_lines(spark):
-    got = json.loads(export_json(snapshot(spark, ('a"b', {"dev": 'a"b\\c\nd'}, *TX[2:])), (50, 99.9)).first().value)
-    assert got == {"name": 'a"b', "labels": {"dev": 'a"b\\c\nd'}, "raw": 50000, "percentiles": {"50": 100000, "99.9": 900000}}
+    got = json.loads(export_json(snapshot(spark, ('rack "9"', {"lane": 'up\tdown "x" \\ \r'}, *SENT[2:])), (50, 99.9)).first().value)
+    assert got == {"name": 'rack "9"', "labels": {"lane": 'up\tdown "x" \\ \r'}, "raw": 73110, "percentiles": {"50": 2303, "99.9": 8191}}
 
 
 def demo(spark):
@@ -110,10 +110,10 @@ def test_codecs(spark):
 
 
 def test_tables(spark, tmp_path):
-    df = snapshot(spark, TX, ("tcp/rtt_us", {}, "distribution", "count", 7, []))
+    df = snapshot(spark, SENT, ("tcp/rtt_us", {}, "distribution", "count", 7, []))
     write_samples(df, str(tmp_path / "samples"))
     rows = {r.name: r for r in spark.read.parquet(str(tmp_path / "samples")).collect()}
-    assert rows["net_tx-bytes"].p99 == 900000 and rows["net_tx-bytes"].tags == {"dev": "eth0"} and str(rows["net_tx-bytes"].date) == "2024-01-01"
+    assert rows["fabric_sent-octets"].p99 == 8191 and rows["fabric_sent-octets"].tags == {"lane": "q7"} and str(rows["fabric_sent-octets"].date) == "2024-01-01"
     assert rows["tcp_rtt_us"].p50 == 0, "an empty histogram rolls up as zero"
     for _ in range(2):
         write_recording(df, str(tmp_path / "rec"), "1 hour")
@@ -132,6 +132,6 @@ def test_retention_and_versions(spark):
 def test_captures_carry_host_and_time(spark, tmp_path):
     folder = tmp_path / "web1" / "1704067200000"
     folder.mkdir(parents=True)
-    (folder / "loadavg").write_text("0.15 0.45 1.20 2/312 98765\n")
+    (folder / "loadavg").write_text("3.08 2.71 1.94 5/1407 61522\n")
     r = read_captures(spark, str(tmp_path)).first()
     assert (r.host, r.ts.timestamp()) == ("web1", 1704067200.0) or r.host == "web1"
