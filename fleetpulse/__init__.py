@@ -39,7 +39,7 @@ from fleetpulse.sources.captures import (
     exposition_tuples, ingest_entity_table_text, ingest_exposition_text, ingest_header_pair_text, ingest_kv_text, ingest_matrix_text,
     ingest_pair_text, ingest_pressure_load_text, read_captures)
 from fleetpulse.sources.recordings import (
-    decode_recording, distinct_observations, load_session, read_recording, recording_catalog, validate_recording)
+    decode_recording, distinct_observations, index_recordings, load_session, read_recording, recording_catalog, validate_recording)
 from fleetpulse.streaming.changes import timeline_stream
 from fleetpulse.streaming.exports import export_ticks, failure_counter, pending_batches, replay_dead_letters
 from fleetpulse.streaming.losses import record_losses, recorded_losses

@@ -170,6 +170,19 @@ def write_samples_whole(spark, sf):
                        F.col("raw").cast("bigint").alias("raw"), "p50", "p90", "p99", "p999")
 
 
+@plan("load_session_indexed", f"""SELECT DISTINCT epoch_us(ts) // 1000 AS ts_ms, {CENTS} AS raw, CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 'first' ELSE 'second' END AS half
+FROM events WHERE {_REASON} IS NULL""")
+def load_session_indexed(spark, sf):
+    """The whole recording in two ranges of time, each opening only the files its index names."""
+    path, index = scratch(spark, "ranged"), scratch(spark, "index")
+    recorded(spark, sf).drop("event_id").repartitionByRange(16, "ts_unix_ms").write.parquet(path)
+    R.index_recordings(spark, [path], index)
+    halves = [("first", None, "2024-01-15 23:59:59.999999 UTC"), ("second", "2024-01-16 00:00:00 UTC", None)]
+    first, second = [R.load_session(spark, [path], start=lo, end=hi, index=index).select(
+        F.col("ts_unix_ms").alias("ts_ms"), F.col("raw").cast("bigint").alias("raw"), F.lit(half).alias("half")) for half, lo, hi in halves]
+    return first.unionByName(second)
+
+
 @plan("load_session_files", f"SELECT DISTINCT epoch_us(ts) // 1000 AS ts_ms, {CENTS} AS raw FROM events WHERE {_REASON} IS NULL")
 def load_session_files(spark, sf):
     first, second = scratch(spark, "first"), scratch(spark, "second")

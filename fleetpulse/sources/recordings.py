@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fleetpulse.functions.percentiles import percentiles_or_null
@@ -12,6 +13,7 @@ from fleetpulse.schema import KINDS, RECORDING, ROLLUP_COLUMNS, U64, U64_MAX, bu
 
 # Epoch milliseconds of the years 0000 and 9999.
 TS_MS_RANGE = (-62167219200000, 253402300799999)
+INDEX = "path string, uri string, bytes bigint, modified timestamp, rows bigint, first_ms bigint, last_ms bigint"
 
 
 def _reasons(df: DataFrame):
@@ -95,9 +97,74 @@ def distinct_observations(df: DataFrame) -> DataFrame:
     return out.withColumn("labels", decode_labels("labels_key")) if "labels" in df.columns else out
 
 
-def load_session(spark: SparkSession, paths: Sequence[str], ordered: bool = False, strict: bool = False) -> DataFrame:
-    """Many recordings as one set of observations. Sort only if a reader needs it."""
-    good, _ = validate_recording(_scan(spark, list(paths)), strict)
+def load_session(spark: SparkSession, paths: Sequence[str], ordered: bool = False, strict: bool = False,
+                 start=None, end=None, index: str | None = None) -> DataFrame:
+    """Many recordings as one set of observations. Sort only if a reader needs it.
+
+    ``start`` and ``end`` (anything that casts to a timestamp, both included) keep a time range; ``strict`` then judges
+    that range, and rows without time lie in none. With an ``index`` (see :func:`index_recordings`) files that hold
+    no row of the range are not opened; files the index does not know, or knows with another size or age, are.
+    """
+    lo, hi = [None if t is None else F.unix_millis(F.lit(t).cast("timestamp")) for t in (start, end)]
+    # A start between two milliseconds excludes the earlier one.
+    lo = None if lo is None else F.when(F.timestamp_millis(lo) < F.lit(start).cast("timestamp"), lo + 1).otherwise(lo)
+    if index is not None:
+        known = _indexed(spark, index).dropDuplicates(["uri", "bytes", "modified"])
+        files = _listed(spark, paths).join(known.drop("path"), ["uri", "bytes", "modified"], "left")
+        if lo is not None:
+            files = files.where(F.col("last_ms").isNull() | (F.col("last_ms") >= lo))
+        if hi is not None:
+            files = files.where(F.col("first_ms").isNull() | (F.col("first_ms") <= hi))
+        # File names only: what Spark's own scan of them keeps on the driver.
+        paths = _literal_paths(files)
+    rows = _scan(spark, list(paths)) if paths else spark.createDataFrame([], RECORDING)
+    if lo is not None:
+        rows = rows.where(F.col("ts_unix_ms") >= lo)
+    if hi is not None:
+        rows = rows.where(F.col("ts_unix_ms") <= hi)
+    good, _ = validate_recording(rows, strict)
     # Duplicates go before decoding: four text columns compare cheaper than arrays.
     rows = decode_recording(good.distinct())
     return rows.orderBy("ts", "name", "labels_key") if ordered else rows
+
+
+def _listed(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """The files of recordings, from a listing: none is opened."""
+    meta = F.col("_metadata")
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true")
+             .load(list(paths)))
+    return files.select("path", meta["file_path"].alias("uri"), meta["file_size"].alias("bytes"),
+                        meta["file_modification_time"].alias("modified"))
+
+
+def _indexed(spark: SparkSession, index: str) -> DataFrame:
+    try:
+        return spark.read.schema(INDEX).parquet(index)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], INDEX)
+
+
+def _literal_paths(files: DataFrame) -> list[str]:
+    """Paths as the reader takes them, which would read brackets and stars as patterns."""
+    escaped = F.regexp_replace("path", r"([\\\[\]{}*?,])", r"\\$1")
+    return [r.path for r in files.select(escaped.alias("path")).distinct().collect()]
+
+
+def index_recordings(spark: SparkSession, paths: Sequence[str], index: str) -> None:
+    """Append rows and time range of every file under ``paths`` to the table ``index``, for :func:`load_session`.
+
+    Files the index already holds at their size and age are not read again, so that a growing recording costs its new
+    files only. Readers compare with a fresh listing: a missing or stale entry costs time, never rows. A file
+    without valid times gets no range and is always read.
+    """
+    keys = ["uri", "bytes", "modified"]
+    new = _listed(spark, paths).join(_indexed(spark, index), keys, "left_anti")
+    names = _literal_paths(new)
+    if not names:
+        return
+    ranges = (_scan(spark, names).select(F.col("_metadata")["file_path"].alias("uri"), "ts_unix_ms").groupBy("uri")
+              .agg(F.count(F.lit(1)).alias("rows"), F.min("ts_unix_ms").alias("first_ms"), F.max("ts_unix_ms").alias("last_ms")))
+    entries = new.join(ranges, "uri", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+    entries.select(*[f.split()[0] for f in INDEX.split(", ")]).write.mode("append").parquet(index)
