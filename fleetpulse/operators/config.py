@@ -47,35 +47,40 @@ ARROW = " → "
 
 
 def flatten_config(df: DataFrame) -> DataFrame:
-    """Nested configuration rows to (ts, hostname, key, value); one narrow pass, no shuffle."""
-    def pair(key, value):
-        return F.struct(key.alias("key"), value.cast("string").alias("value"))
+    """Nested configuration rows to (ts, hostname, key, value); one narrow pass, no shuffle.
 
-    sysctl = F.array(*[
-        pair(F.lit(f"sysctl.{key}"),
-             F.try_element_at(F.col(f"sysctl.{field}"), F.lit(3)) if field in ("tcp_rmem", "tcp_wmem")
-             else F.col(f"sysctl.{field}"))
-        for key, field in SYSCTL_KEYS.items()])
-
-    def interface(entry):
-        name, info = entry["key"], entry["value"]
+    A snapshot becomes its parts (the host's own settings, then each interface), a part its keys, and a
+    per-queue list its queues: three plain generators of flat columns, all in generated code.
+    """
+    item = "array<struct<id:bigint,value:string>>"
+    part = "struct<key:string,value:" + df.schema["interfaces"].dataType.valueType.simpleString() + ">"
 
-        def named(pattern, tail=None):
-            before, after = pattern.split("{}")
-            return F.concat(F.lit(before), name, F.lit(after), *([tail] if tail is not None else []))
+    def one(key, value):
+        value = value.cast("string")
+        held = F.when(value.isNotNull(), F.array(F.struct(F.lit(None).cast("bigint").alias("id"), value.alias("value"))))
+        return F.struct(key.alias("stem"), F.lit(False).alias("listed"), held.cast(item).alias("items"))
 
-        fields = F.array(*[pair(named(p), info[field]) for p, field in INTERFACE_KEYS.items()])
-        def per_queue(pattern, field):
-            held = F.coalesce(info["steering"][field], F.array().cast("array<struct<id:bigint,value:string>>"))
-            return F.transform(held, lambda q: pair(named(pattern, q["id"].cast("string")), q["value"]))
+    name, info = F.col("__part.key"), F.col("__part.value")
 
-        return F.concat(fields, *[per_queue(p, field) for p, field in STEERING_KEYS.items()])
+    def named(pattern):
+        before, after = pattern.split("{}")
+        return F.concat(F.lit(before), name, F.lit(after))
 
-    pairs = F.concat(sysctl, F.coalesce(
-        F.flatten(F.transform(F.map_entries("interfaces"), interface)),
-        F.array().cast("array<struct<key:string,value:string>>")))
-    return (df.select(F.timestamp_millis("timestamp_ms").alias("ts"), "hostname", F.explode(pairs).alias("__p"))
-            .select("ts", "hostname", "__p.key", "__p.value").where(F.col("value").isNotNull()))
+    sysctl = F.array(*[
+        one(F.lit(f"sysctl.{key}"),
+            F.try_element_at(F.col(f"sysctl.{field}"), F.lit(3)) if field in ("tcp_rmem", "tcp_wmem") else F.col(f"sysctl.{field}"))
+        for key, field in SYSCTL_KEYS.items()])
+    interface = F.array(*[one(named(p), info[field]) for p, field in INTERFACE_KEYS.items()], *[
+        F.struct(named(p).alias("stem"), F.lit(True).alias("listed"), info["steering"][field].cast(item).alias("items")) for p, field in STEERING_KEYS.items()])
+    # The part without a name is the host's own; map keys are never null.
+    parts = F.concat(F.array(F.lit(None).cast(part)), F.coalesce(F.map_entries("interfaces"), F.array().cast(f"array<{part}>")))
+    return (df.select(F.timestamp_millis("timestamp_ms").alias("ts"), "hostname", "sysctl", F.explode(parts).alias("__part"))
+            .select("ts", "hostname", F.explode(F.when(name.isNull(), sysctl).otherwise(interface)).alias("__group"))
+            .select("ts", "hostname", F.col("__group.stem").alias("__stem"), F.col("__group.listed").alias("__listed"),
+                    F.explode("__group.items").alias("__item"))
+            .where(F.col("__item.value").isNotNull())
+            .select("ts", "hostname", F.when(F.col("__listed"), F.concat("__stem", F.col("__item.id").cast("string")))
+                    .otherwise(F.col("__stem")).alias("key"), F.col("__item.value").alias("value")))
 
 
 def config_diff(df: DataFrame, host: str = "hostname", snapshot: str = "snapshot", chunk=None) -> DataFrame:
