@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from fleetpulse.plans.adapters import CENTS, cents, events
 from fleetpulse.plans.registry import plan
+from fleetpulse.session import scratch
 from fleetpulse.sources import captures as S
 
 
@@ -115,3 +116,23 @@ def ingest_matrix_text(spark, sf):
     lines = _lines(events(spark, sf), F.lit("                    CPU0       CPU1"), F.concat(F.lit("      NET_RX:    "), _s(cents()), F.lit("   "), _s(cents() * 2)),
                    F.concat(F.lit("       TIMER: "), _s("user_id"), F.lit(" "), _s(F.col("user_id") + 1)))
     return S.ingest_matrix_text(lines).select("host", "name", F.col("raw").cast("bigint").alias("raw"))
+
+
+@plan("ingest_captured_files", f"""WITH e AS (SELECT 'h' || (user_id % 5) AS host, epoch_us(ts) // 1000 // 86400000 * 86400000 AS ts_ms, event_id, user_id, {CENTS} AS c FROM events)
+SELECT host, ts_ms, 'memory/slot' || event_id AS name, c * 1024 AS raw FROM e
+UNION ALL SELECT host, ts_ms, 'Ip6Seen' || event_id, user_id FROM e""")
+def ingest_captured_files(spark, sf):
+    """Captures as files, a folder per kind, host and day: host and time come from the path."""
+    path = scratch(spark, "captures")
+    day = F.unix_millis("ts") - F.pmod(F.unix_millis("ts"), F.lit(86_400_000))
+    lines = events(spark, sf).select(F.concat(F.lit("h"), _s(F.col("user_id") % 5)).alias("host"), day.alias("ms"), F.explode(F.array(
+        F.struct(F.lit("meminfo").alias("kind"), F.concat(F.lit("Slot"), _s("event_id"), F.lit(":   "), _s(cents()), F.lit(" kB")).alias("value")),
+        F.struct(F.lit("snmp6").alias("kind"), F.concat(F.lit("Ip6Seen"), _s("event_id"), F.lit("   \t"), _s("user_id")).alias("value")))).alias("line"))
+    (lines.select("host", "ms", "line.*").repartition("kind", "host", "ms")
+     .write.partitionBy("kind", "host", "ms").text(path))
+    pattern = r"host=([^/]+)/ms=(\d+)/[^/]*$"
+    memory = S.ingest_kv_text(S.read_captures(spark, f"{path}/kind=meminfo", pattern))
+    pairs = S.ingest_pair_text(S.read_captures(spark, f"{path}/kind=snmp6", pattern))
+    at = F.unix_millis("ts").alias("ts_ms")
+    return memory.select("host", at, "name", F.col("raw").cast("bigint").alias("raw")).unionByName(
+        pairs.select("host", at, F.col("field").alias("name"), F.col("value").cast("bigint").alias("raw")))
