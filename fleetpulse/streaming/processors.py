@@ -2,7 +2,7 @@
 
 Rows of a key wait in state until the watermark has passed them and are then
 applied in (us, tie) order, so the micro-batch a row arrives in makes no
-difference. Rows behind the watermark never reach a processor: Spark drops and
+difference; a timer reads only what has passed, run by run. Rows behind the watermark never reach a processor: Spark drops and
 counts them. State is what arrived within the delay, and the machine's own.
 """
 
@@ -38,8 +38,14 @@ class InOrder(StatefulProcessor):
     ``advance`` gets the state (None at first) and the passed rows in order and gives the new
     state (None to drop it) and output. ``deadline`` names the time at which a state ends
     although no row comes, and ``lapse`` what that gives.
+
+    Rows wait in runs: sorted pieces of a batch of at most ``RUN`` rows, each one entry of a map
+    state under its first time. A timer reads the entries that begin before the watermark, one
+    after another, and advances the state up to where the next one begins. So what a key holds
+    beyond the watermark is not read, and no more than the runs of one instant are in memory at once.
     """
 
+    RUN = 4096
     waits = "us bigint, tie bigint"
     keeps = "us bigint"
 
@@ -49,63 +55,86 @@ class InOrder(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.names = [field.split()[0] for field in self.waits.split(", ")]
-        self.waiting = handle.getListState("waiting", self.waits)
+        lists = ", ".join("{} array<{}>".format(*field.split()) for field in self.waits.split(", "))
+        self.waiting = handle.getMapState("runs", "us bigint, serial bigint", lists)
         self.state = handle.getValueState("state", self.keeps)
-        self.due = handle.getValueState("due", "ms bigint")
+        self.due = handle.getValueState("due", "ms bigint, serial bigint")
 
     def handleInputRows(self, key, rows, timerValues):
-        earliest = None
+        due, serial = self._plan()
+        old, earliest = due, None
         for frame in rows:
             if not len(frame):
                 continue
-            self.waiting.appendList(list(frame[self.names].itertuples(index=False, name=None)))
-            first = int(frame["us"].min())
-            earliest = first if earliest is None else min(earliest, first)
+            held = frame.sort_values(["us", "tie"], kind="stable")
+            for at in range(0, len(held), self.RUN):
+                serial += 1
+                first = self._hold(held.iloc[at:at + self.RUN], serial)
+                earliest = first if earliest is None else min(earliest, first)
             out = self.at_once(frame)
             if out is not None:
                 yield _with_key(out, self.keys, key)
         if earliest is not None:
-            due = self.due.get()[0] if self.due.exists() else None
-            if due is None or _passed_ms(earliest) < due:
-                self._wake(due, _passed_ms(earliest))
+            due = _passed_ms(earliest) if due is None else min(due, _passed_ms(earliest))
+            self._wake(old, due, serial)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        self.due.clear()
-        frame = pd.DataFrame(list(self.waiting.get()), columns=self.names)
-        ready = frame[frame["us"] <= passed].sort_values(["us", "tie"], kind="stable").reset_index(drop=True)
-        later = frame[frame["us"] > passed]
-        if len(ready):
-            if len(later):
-                self.waiting.put(list(later.itertuples(index=False, name=None)))
-            else:
-                self.waiting.clear()
+        _, serial = self._plan()
+        runs = sorted(self.waiting.keys())
+        begun = [r for r in runs if r[0] <= passed]
         state = tuple(self.state.get()) if self.state.exists() else None
-        outs = []
-        if len(ready):
-            state, out = self.advance(state, ready)
-            outs.append(out)
+        ready, first_left = None, runs[len(begun)][0] if len(begun) < len(runs) else None
+        for n, run in enumerate(begun):
+            frame = pd.DataFrame(dict(zip(self.names, self.waiting.getValue(run), strict=True)))
+            self.waiting.removeKey(run)
+            later = frame[frame["us"] > passed]
+            if len(later):
+                serial += 1
+                first = self._hold(later, serial)
+                first_left = first if first_left is None else min(first_left, first)
+            frame = frame[frame["us"] <= passed]
+            ready = frame if ready is None or not len(ready) else pd.concat([ready, frame], ignore_index=True)
+            until = begun[n + 1][0] if n + 1 < len(begun) else None
+            now = ready if until is None else ready[ready["us"] < until]
+            if len(now):
+                ready = ready[ready["us"] >= until] if until is not None else None
+                state, out = self.advance(state, now.sort_values(["us", "tie"], kind="stable").reset_index(drop=True))
+                if out is not None and len(out):
+                    yield _with_key(out, self.keys, key)
         end = None if state is None else self.deadline(state)
         if end is not None and end < passed:
-            outs.append(self.lapse(state))
+            out = self.lapse(state)
             state = end = None
+            if out is not None and len(out):
+                yield _with_key(out, self.keys, key)
         if state is None:
             self.state.clear()
         else:
             self.state.update(state)
-        wakes = [_passed_ms(int(later["us"].min()))] if len(later) else []
+        wakes = [] if first_left is None else [_passed_ms(first_left)]
         wakes += [] if end is None else [end // 1000 + 1]
         if wakes:
-            self._wake(None, min(wakes))
-        for out in outs:
-            if out is not None and len(out):
-                yield _with_key(out, self.keys, key)
-
-    def _wake(self, old: int | None, ms: int) -> None:
-        if old is not None:
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer(ms)
-        self.due.update((ms,))
+            self._wake(None, min(wakes), serial)
+        else:
+            self.due.clear()
+
+    def _plan(self) -> tuple[int | None, int]:
+        """The time of the next timer and the number of the last run."""
+        return tuple(self.due.get()) if self.due.exists() else (None, 0)
+
+    def _hold(self, rows: pd.DataFrame, serial: int) -> int:
+        """Store a sorted run; its first time."""
+        first = int(rows["us"].iloc[0])
+        self.waiting.updateValue((first, serial), tuple(rows[c].tolist() for c in self.names))
+        return first
+
+    def _wake(self, old: int | None, ms: int, serial: int) -> None:
+        if old != ms:
+            if old is not None:
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(ms)
+        self.due.update((ms, serial))
 
     def at_once(self, frame: pd.DataFrame) -> pd.DataFrame | None:
         return None
