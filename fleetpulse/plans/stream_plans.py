@@ -97,14 +97,15 @@ def stream_paired_latency(spark, sf):
 
 def _in_turns(spark, rows, turn, turns, name):
     """``rows`` as a stream of ``turns`` files, one a micro-batch, by the column expression ``turn`` (0 to turns - 1), and a last
-    file of one row of host 'closing' a thousand weeks on."""
+    file of one row of host or type 'closing' a thousand weeks on."""
     source = scratch(spark, name)
     held = scratch(spark, f"{name}-held")
     rows.withColumn("__turn", turn).write.partitionBy("__turn").parquet(held)
     for k in range(turns):
         spark.read.schema(rows.schema).parquet(f"{held}/__turn={k}").coalesce(1).write.mode("append").parquet(source)
     far = rows.agg((F.max("ts") + F.expr("INTERVAL 7000 DAYS")).alias("ts"))
-    given = {"hostname": "closing", "snapshot": 0, "window_id": 0, "scope": "link", "seq": 0, "pid": 0}
+    given = {"hostname": "closing", "snapshot": 0, "window_id": 0, "scope": "link", "seq": 0, "pid": 0,
+             "event_type": "closing", "event_id": 0}
     closing = far.select(*[F.col("ts") if f.name == "ts" else F.create_map().cast(f.dataType).alias(f.name) if f.name == "config" else
                            F.lit(given.get(f.name)).cast(f.dataType).alias(f.name) for f in rows.schema])
     closing.coalesce(1).write.mode("append").parquet(source)
@@ -124,6 +125,22 @@ def _turn(week):
     return F.greatest(F.least(F.floor(late * 3 / WEEKS), F.lit(2)), F.lit(0)).cast("int")
 
 
+@plan("stream_counter_rate_files", f"""WITH RECURSIVE counters AS (SELECT epoch_us(ts) AS us, event_id, event_type, event_id % 997 AS raw FROM events),
+o AS ({_COUNTER_CHAIN}""")
+def stream_counter_rate_files(spark, sf):
+    # Three micro-batches, rows up to two days late at their edges: a key's rows wait in runs, and each timer reads those it has passed.
+    events = table(spark, sf, "events").select("event_type", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    ends = events.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts")) + 1).first()
+    first, end = (0, 1) if ends[0] is None else ends
+    come = F.unix_micros("ts") + F.pmod(F.hash("event_id"), F.lit(3)) * DAY_US - F.lit(first)
+    turn = F.least(F.floor(come * 3 / F.lit(end - first)), F.lit(2)).cast("int")
+    files = _in_turns(spark, events, turn, 3, "counter_files")
+    stream = S.stream_counter_rate(files.withColumn("raw", F.col("event_id") % 997), "1 hour", ["event_type"], tie="event_id", delay="3 days")
+    out, _ = S.run_to_table(stream, "counter_rate_files")
+    return out.select("event_type", F.unix_micros("ts").alias("us"), F.col("raw").cast("bigint").alias("raw"),
+                      F.col("rate").cast("bigint").alias("rate"))
+
+
 @plan("change_stream", f"WITH {CONFIG_OBS}{DIFF} SELECT hostname, snapshot, key, old_value, new_value FROM diff")
 def change_stream(spark, sf):
     # Files of a third of the weeks each; at their edges snapshots come out of order, two weeks at most.
