@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from fleetpulse.operators.chunks import with_previous
 from fleetpulse.operators.joins import attribute_changes
@@ -83,12 +83,22 @@ def flatten_config(df: DataFrame) -> DataFrame:
                     .otherwise(F.col("__stem")).alias("key"), F.col("__item.value").alias("value")))
 
 
-def config_diff(df: DataFrame, host: str = "hostname", snapshot: str = "snapshot", chunk=None) -> DataFrame:
+def snapshots_a_chunk(df: DataFrame, snapshot: str):
+    """A width of chunks for a column of snapshots: a day of times, 4096 of whole numbers; none for other types."""
+    kind = df.schema[snapshot].dataType
+    return "1 day" if isinstance(kind, T.TimestampType) else 4096 if isinstance(kind, T.IntegralType) else None
+
+
+def config_diff(df: DataFrame, host: str = "hostname", snapshot: str = "snapshot", chunk="by type") -> DataFrame:
     """Keys present in two adjacent snapshots of a host with different values.
 
+    A key's snapshots are compared in chunks of ``chunk`` (a time, or a number; None: all at once), by default of
+    ``snapshots_a_chunk``: no key's history is one task.
+
     New and vanished keys emit nothing: the key's previous row must belong to
     the host's directly preceding snapshot.
     """
+    chunk = snapshots_a_chunk(df, snapshot) if chunk == "by type" else chunk
     taken = df.select(host, snapshot).distinct()
     taken = with_previous(taken, [host], [snapshot], {"__before": snapshot}, chunk)
     rows = with_previous(df, [host, "key"], [snapshot], {"__prev": snapshot, "old_value": "value"}, chunk)
@@ -177,7 +187,7 @@ def latest_config_snapshot(df: DataFrame, keys: Sequence[str] = ("hostname", "ts
 
 
 def change_timeline(snapshots: DataFrame, events: DataFrame, window: Sequence[str] = ("window_id",),
-                    chunk=None) -> DataFrame:
+                    chunk="by type") -> DataFrame:
     """Snapshots and events to attributed, annotated changes.
 
     ``snapshots``: hostname, snapshot, ts, ``window``, key, value.

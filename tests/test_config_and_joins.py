@@ -167,6 +167,9 @@ def test_only_adjacent_snapshots_are_compared(spark):
     for chunk in (None, 1, 10):
         got = [(r.snapshot, r.key, r.old_value, r.new_value) for r in config_diff(df, chunk=chunk).collect()]
         assert got == [(2, "a", "1", "2")]
+    for kind in ("bigint", "string", "timestamp"):  # the default: chunks of numbers, of days, or none
+        typed = df.withColumn("snapshot", F.timestamp_seconds(F.col("snapshot") * 50_000) if kind == "timestamp" else F.col("snapshot").cast(kind))
+        assert [(r.key, r.old_value, r.new_value) for r in config_diff(typed).collect()] == [("a", "1", "2")]
 
 
 def test_numeric_values_only(spark):
