@@ -3,7 +3,8 @@
 A log holds events of conversations: ``open`` starts a message with its role, ``delta`` appends
 streamed text, ``edit`` replaces part of the message so far, ``regenerate`` empties it for another
 try. The log is partitioned by conversation and message and ordered by sequence number; a fold
-over a message's events gives its final text. Messages are then rendered in order.
+over a message's events gives its final text: the deltas between two edits or regenerations are joined
+at once, so a message costs its length for each edit, not for each delta. Messages are then rendered in order.
 
 The template is ``<s>`` and, for each message, ``[INST]role[/INST]text</s>``. Inside roles and texts a
 backslash is doubled and each control string gets a backslash after its first character, so
@@ -48,9 +49,8 @@ def events_of(rows: DataFrame, delta: int = DELTA) -> DataFrame:
     df = rows.select("conv_id", "turn", "role", text.alias("text"), F.row_number().over(tie).alias("tie"))
     event = lambda kind, body=F.lit(""), at=F.lit(0), n=F.lit(0): F.struct(
         F.lit(kind).alias("kind"), body.alias("body"), at.alias("at"), n.alias("n"))
-    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(delta)),
-                        lambda i: event("delta", F.substring("text", i + 1, F.lit(delta))))
-    first = F.least(F.length("text"), F.lit(delta))
+    # one pass over the text: a substring would count characters from its start for each delta
+    parts = F.transform(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{delta}}}"), F.lit(0)), lambda piece: event("delta", piece))
     again = F.concat(F.array(event("delta", F.lit("draft ")), event("delta", F.col("role")), event("regenerate")), parts)
     mended = F.concat(F.array(event("delta", F.upper(F.substring("text", 1, delta)))), F.slice(parts, 2, F.size(parts)),
                       F.array(event("edit", F.substring("text", 1, delta), F.lit(0), F.length(F.upper(F.substring("text", 1, delta))))))
@@ -62,16 +62,23 @@ def events_of(rows: DataFrame, delta: int = DELTA) -> DataFrame:
 def fold(events: DataFrame) -> DataFrame:
     """Final messages (conv_id, turn, tie, role, text) of an event log."""
     parts = F.array_sort(F.collect_list(F.struct("seq", "kind", "body", "at", "n")))
-    empty = F.struct(F.lit("").alias("role"), F.lit("").alias("text"))
+    cuts = F.filter(F.transform("parts", lambda e, i: F.when(e["kind"].isin("edit", "regenerate"), i)), lambda i: i.isNotNull())
+    opened = F.try_element_at(F.filter("parts", lambda e: e["kind"] == "open"), F.lit(-1))["body"]
 
-    def apply(acc: Column, e: Column) -> Column:
-        edited = F.concat(F.substring(acc["text"], F.lit(1), e["at"]), e["body"], F.substring(acc["text"], e["at"] + e["n"] + 1, F.length(acc["text"])))
-        text = (F.when(e["kind"] == "delta", F.concat(acc["text"], e["body"])).when(e["kind"] == "edit", edited)
-                .when(e["kind"] == "regenerate", F.lit("")).otherwise(acc["text"]))
-        return F.struct(F.when(e["kind"] == "open", e["body"]).otherwise(acc["role"]).alias("role"), text.alias("text"))
+    def step(cut: Column, k: Column) -> Column:
+        """The event at a cut and the deltas between it and the next one, joined."""
+        upto = F.coalesce(F.get("cuts", k + 1), F.size("parts"))
+        run = F.filter(F.slice("parts", cut + 2, upto - cut - 1), lambda e: e["kind"] == "delta")
+        return F.struct(F.get("parts", cut).alias("e"), F.array_join(F.transform(run, lambda e: e["body"]), "").alias("run"))
+
+    def apply(text: Column, s: Column) -> Column:
+        e = s["e"]
+        edited = F.concat(F.substring(text, F.lit(1), e["at"]), e["body"], F.substring(text, e["at"] + e["n"] + 1, F.length(text)))
+        return F.concat(F.when(e["kind"] == "edit", edited).when(e["kind"] == "regenerate", F.lit("")).otherwise(text), s["run"])
 
     return (events.groupBy("conv_id", "turn", "tie").agg(parts.alias("parts"))
-            .select("conv_id", "turn", "tie", F.aggregate("parts", empty, apply).alias("m")).select("conv_id", "turn", "tie", "m.*"))
+            .withColumn("cuts", F.concat(F.array(F.lit(-1)), cuts)).withColumn("steps", F.transform("cuts", step))
+            .select("conv_id", "turn", "tie", F.coalesce(opened, F.lit("")).alias("role"), F.aggregate("steps", F.lit(""), apply).alias("text")))
 
 
 def render(messages: DataFrame) -> DataFrame:
