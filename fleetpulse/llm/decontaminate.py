@@ -9,11 +9,14 @@ m + 1 - Q * (e + 1) of its q-grams with the place it occurs at, on diagonals at
 2. shared q-grams are counted per window in overlapping bands of diagonals,
 3. bands that meet the bound are verified by banded alignment with e edits.
 
+Items of fewer than ``LEAST`` bytes after normalising hold too few q-grams for an edit budget: they are found where
+they occur exactly, between word bounds (``WORD``: ASCII letters and digits, and all bytes of other characters).
+
 The benchmark is read in blocks of bounded size; the documents pass through all blocks in one scan
 without a shuffle, in any number of tasks.
 
-Defined cases: null and empty texts hold nothing; items of fewer than ``LEAST`` bytes after normalising are too
-short to tell and are not searched; items with a null id or text are skipped. Repeated items are reported
+Defined cases: null and empty texts hold nothing; items that are empty or spaces only, and items with a null id or
+text, are skipped. Repeated items are reported
 once by id. A clashing column of the input named items or contaminated is replaced.
 """
 
@@ -26,13 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import LOWER, SPACE, U, flat, runs
+from .bytetext import LOWER, SPACE, Prefix, U, flat, runs
 
 Q = 8
 WINDOW, STEP, LEAST = 80, 40, 32
 BLOCK_BYTES = 4 << 20
 FOLD = np.where(SPACE, 32, LOWER).astype(np.uint8)
 SCATTER = U(0x9E3779B97F4A7C15)
+WORD = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 
 
 def normalise(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,17 +60,52 @@ def grams(data: np.ndarray) -> np.ndarray:
     return out
 
 
+class Short:
+    """Items below ``LEAST`` bytes by length, found exactly between word bounds."""
+
+    def __init__(self):
+        self.items: dict[int, dict[bytes, list[int]]] = {}
+        self.hashes: dict[int, list[int]] = {}
+
+    def add(self, item: int, body: bytes) -> None:
+        n = len(body)
+        named = self.items.setdefault(n, {}).setdefault(body, [])
+        if not named:
+            self.hashes.setdefault(n, []).append(Prefix(np.frombuffer(body, np.uint8)).of(np.zeros(1, np.int64), np.array([n]))[0])
+        named.append(item)
+
+    def places(self, data: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int]]:
+        """(row, item) of every short item that occurs in a row."""
+        if not self.items or not len(data):
+            return []
+        edge = np.ones(len(data) + 1, bool)  # no word runs across the place before a byte
+        edge[1:-1] = ~(WORD[data[1:]] & WORD[data[:-1]])
+        edge[bounds] = True
+        sums, starts, found = Prefix(data), np.flatnonzero(edge[:-1]), []
+        limit = bounds[np.searchsorted(bounds, starts, "right")]
+        for n, bodies in self.items.items():
+            at = starts[starts + n <= limit]
+            at = at[edge[at + n]]
+            at = at[np.isin(sums.of(at, at + n), np.array(self.hashes[n], U))]
+            row = np.searchsorted(bounds, at, "right") - 1
+            for r, a in zip(row.tolist(), at.tolist()):
+                found += [(r, item) for item in bodies.get(data[a:a + n].tobytes(), ())]
+        return found
+
+
 class Windows:
     """q-gram index of the windows of some benchmark items."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.item, self.length, self.text = [], [], []
+        self.item, self.length, self.text, self.short = [], [], [], Short()
         for item, text in items:
             raw = np.frombuffer(text.encode(), np.uint8)
             body = normalise(raw, np.array([0, len(raw)]))[0]
             body = np.frombuffer(body.tobytes().strip(), np.uint8)
             m = min(WINDOW, len(body) // 8 * 8)
-            if m < LEAST:
+            if len(body) < LEAST:
+                if len(body):
+                    self.short.add(item, body.tobytes())
                 continue
             for start in sorted({*range(0, len(body) - m + 1, STEP), len(body) - m}):
                 self.item.append(item), self.length.append(m), self.text.append(body[start:start + m])
@@ -155,8 +194,11 @@ def _search(items: list[tuple[int, str]], column: int):
             data, bounds = flat(batch.column(column))
             found: list[set[int]] = [set(x or ()) for x in batch.column(batch.num_columns - 1).to_pylist()]
             for a, b in runs(bounds):
-                for r, w in zip(*index.places(*normalise(data[bounds[a]:bounds[b]], bounds[a:b + 1] - bounds[a]))):
+                folded = normalise(data[bounds[a]:bounds[b]], bounds[a:b + 1] - bounds[a])
+                for r, w in zip(*index.places(*folded)):
                     found[a + int(r)].add(index.item[w])
+                for r, item in index.short.places(*folded):
+                    found[a + r].add(item)
             yield batch.set_column(batch.num_columns - 1, "items", pa.array([sorted(x) for x in found], pa.list_(pa.int64())))
 
     return run
