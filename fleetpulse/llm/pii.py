@@ -4,12 +4,14 @@ Patterns give base spans of emails, IP addresses, card and phone numbers. A cond
 field labels tokens: unary weights of token shape and the word before, a potential between neighbouring
 tokens, and a skip potential between tokens of one document that are equal or similar (same digits,
 or same letters and digits), each linked to the one before it. Loopy sum-product messages pass along both
-kinds of edges, so a repeated token takes the label its other mentions suggest. Tokens with neither a digit nor
+kinds of edges until they settle, so a repeated token takes the label its other mentions suggest, however many
+mentions lie between. Tokens with neither a digit nor
 ``@`` are fixed to no entity, which cuts the chain there without changing the others' marginals.
 
 The weights are learned by pseudo-likelihood from the base spans of at most ``SAMPLE_TOKENS`` tokens of documents
-chosen by hash. A token labelled with a sure marginal outside every base span becomes a span of its own if a linked token lies
-in a base span of that kind, or if the label stands without any link. Base spans always stay.
+chosen by hash, each of at most ``SAMPLE_LONGEST`` tokens. A token outside every base span becomes a span of its own if its
+marginal is at least ``SURE_LINKED`` and some token that skip links lead to, directly or over others, lies in a base span of
+that kind, or if it is at least ``SURE_ALONE``. Base spans always stay.
 
 Defined cases: a null or empty text has no spans. Positions are code points, ends exclusive. Equal rows get
 equal spans. Where nothing can be learned only the base spans come out.
@@ -29,9 +31,13 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_TOKENS = 40_000
 SAMPLE_DOCS = 4_000
+#: Tokens of the longest document in the fit: long lists of numbers teach little.
+SAMPLE_LONGEST = 400
 FEATURES = 1 << 13
 L = len(KINDS) + 1
 SURE_LINKED, SURE_ALONE = 0.9, 0.995
+#: Messages pass until none changes by more than this, or for so many rounds.
+SETTLED, ROUNDS = 1e-4, 500
 MARK = re.compile(r"[0-9@]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
@@ -120,6 +126,22 @@ def skip_links(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int]
     return sorted(out)
 
 
+def components(n: int, links: list[tuple[int, int]]) -> list[int]:
+    """The least of the tokens that links lead to from each of ``n``; links go from lower to higher, in order."""
+    of = list(range(n))
+
+    def top(i: int) -> int:
+        while of[i] != i:
+            of[i] = of[of[i]]
+            i = of[i]
+        return i
+
+    for i, j in links:
+        a, b = top(i), top(j)
+        of[max(a, b)] = min(a, b)
+    return [top(i) for i in range(n)]
+
+
 def truth(tokens: list[tuple[int, int]], spans: list[Span]) -> np.ndarray:
     """Label of each token: 1 + kind of a base span it overlaps, or 0."""
     y = np.zeros(len(tokens), np.int64)
@@ -173,8 +195,8 @@ class Field:
                 gt += g * g
                 table += rate * g / np.sqrt(gt)
 
-    def marginals(self, rows: list[list[int]], chain: list[tuple[int, int]], skip: list[tuple[int, int]], rounds: int = 6) -> np.ndarray:
-        """Loopy sum-product marginals, all messages at once in each round."""
+    def marginals(self, rows: list[list[int]], chain: list[tuple[int, int]], skip: list[tuple[int, int]], rounds: int = ROUNDS) -> np.ndarray:
+        """Loopy sum-product marginals, all messages at once in each round, until they settle."""
         own = self.unary[np.array(rows)].sum(axis=1)
         edges = np.array(chain + skip, np.int64).reshape(-1, 2)
         if not len(edges):
@@ -191,7 +213,11 @@ class Field:
             out = total[send] - message[back]
             out = np.exp(out - out.max(axis=1, keepdims=True))
             new = np.log((out[:, :, None] * pot).sum(axis=1) + 1e-300)
-            message = 0.5 * message + 0.5 * (new - new.max(axis=1, keepdims=True))
+            new = 0.5 * message + 0.5 * (new - new.max(axis=1, keepdims=True))
+            settled = np.abs(new - message).max() <= SETTLED
+            message = new
+            if settled:
+                break
         total = own.copy()
         np.add.at(total, take, message)
         p = np.exp(total - total.max(axis=1, keepdims=True))
@@ -213,13 +239,13 @@ def all_spans(text: str, field: Field | None) -> tuple[list[Span], list[Span]]:
         return base, base
     y, chain, skip = truth(tokens, base), chain_links(text, tokens), skip_links(text, tokens)
     p = field.marginals([features(text, t) for t in tokens], chain, skip)
-    near: dict[int, list[int]] = {}
-    for i, j in skip:
-        near.setdefault(i, []).append(j), near.setdefault(j, []).append(i)
+    of, sure = components(len(tokens), skip), set()
+    sure.update((c, int(label)) for c, label in zip(of, y) if label)
+    joined = set(chain)
     added: list[Span] = []
     for i, label in enumerate(p.argmax(axis=1)):
-        if label and not y[i] and p[i, label] >= (SURE_LINKED if any(y[j] == label for j in near.get(i, ())) else SURE_ALONE):
-            if added and added[-1][0] == label - 1 and (i - 1, i) in set(chain) and added[-1][2] == tokens[i - 1][1]:
+        if label and not y[i] and p[i, label] >= (SURE_LINKED if (of[i], int(label)) in sure else SURE_ALONE):
+            if added and added[-1][0] == label - 1 and (i - 1, i) in joined and added[-1][2] == tokens[i - 1][1]:
                 added[-1] = (added[-1][0], added[-1][1], tokens[i][1])
             else:
                 added.append((int(label) - 1, *tokens[i]))
@@ -256,8 +282,7 @@ def find_personal_data(docs: DataFrame, carry: list[str]) -> DataFrame:
     n = marked.count()
     part = marked.where(F.pmod("draw", F.lit(1 << 30)) / (1 << 30) < SAMPLE_DOCS / max(n, 1)).select("text")
     learned = part.mapInArrow(_learn, "n long, f array<array<long>>, y array<long>, c array<array<long>>, s array<array<long>>")
-    # long lists of numbers teach little: a document with many tokens is left out of the fit
-    rows = learned.where(F.col("n").between(1, 400)).limit(SAMPLE_DOCS * 2).collect()
+    rows = learned.where(F.col("n").between(1, SAMPLE_LONGEST)).limit(SAMPLE_DOCS * 2).collect()
     rows = sorted(rows, key=lambda r: (r["f"], r["y"]))
     kept, total = [], 0
     for r in rows:
