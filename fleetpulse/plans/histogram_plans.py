@@ -13,7 +13,7 @@ from fleetpulse.operators.rollups import latest_snapshot
 from fleetpulse.plans.adapters import (
     CENTS, DAY_US, HOUR_US, OBS_GAUGE, bound_sql, cents, events, obs_gauge, percentiles_sql, rank_sql, table)
 from fleetpulse.plans.registry import plan
-from fleetpulse.schema import SERIES
+from fleetpulse.schema import SERIES, U64
 
 
 @plan("rollup_percentiles", f"""WITH {OBS_GAUGE},
@@ -51,7 +51,8 @@ def h2_indexes(spark, sf):
 SELECT l_returnflag, count(*) AS n, CAST(sum(CAST(v > 4503599627370495 AS INT)) AS BIGINT) AS clamped,
     max(least(v, 4503599627370495)) AS top FROM v GROUP BY ALL""")
 def h2_clamped(spark, sf):
-    v = (F.col("l_orderkey") * 400000000000 * F.col("l_linenumber")).alias("v")
+    # DECIMAL: from l_orderkey 3,294,062 on the product can pass 64 bits
+    v = (F.col("l_orderkey").cast(U64) * 400000000000 * F.col("l_linenumber")).alias("v")
     return (table(spark, sf, "lineitem").select(v, "l_returnflag").groupBy("l_returnflag")
             .agg(F.count(F.lit(1)).alias("n"), F.count_if(is_clamped("v")).alias("clamped"), F.max(h2_clamp("v")).alias("top")))
 

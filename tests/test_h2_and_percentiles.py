@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fleetpulse import (
     bucket_array, dense_to_sparse, event_total, h2_bound, h2_bound_of_index, h2_bucket_total, h2_clamp, h2_index, percentile_columns,
     percentiles_from_buckets, percentiles_or_null, rollup_row)
+from fleetpulse.plans.catalog import PLANS
 
 BUCKETS = "array<struct<bound:bigint,count:bigint>>"
 
@@ -55,6 +56,13 @@ def test_large_values_pin_the_top_bucket(spark):
     assert rows == [5, 2**52 - 1]
 
 
+def test_products_beyond_64_bits_are_clamped(spark, tmp_path):
+    rows = [(3, 4, "A"), (0, 1, "A"), (3_294_062, 7, "N"), (9_000_000, 7, "N"), (2**63 - 1, 7, "R"), (None, 1, "R"), (1, 1, "R")]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_linenumber int, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.l_returnflag: (r.n, r.clamped, r.top) for r in PLANS["h2_clamped"](spark, str(tmp_path)).collect()}
+    assert got == {"A": (2, 0, 12 * 4 * 10**11), "N": (2, 2, 2**52 - 1), "R": (3, 1, 2**52 - 1)}
+
+
 def _pct(spark, buckets, ps, fn=percentiles_from_buckets):
     df = spark.createDataFrame([(buckets,)], f"b {BUCKETS}")
     return [None if v is None else int(v) for v in df.select(fn("b", ps).alias("p")).first().p]
