@@ -1,9 +1,10 @@
 """Log-linear ("H2") bucket arithmetic as pure column expressions.
 
 A value keeps its ``g + 1`` leading bits; the bucket's inclusive upper bound is
-the value with all lower bits set. Smearing the leading one to the right gives a
+the value with all lower bits set. The number ``p + 1`` of the value's bits gives a
 mask ``2^(p+1) - 1``; shifted by ``g + 1`` it is exactly those lower bits, so the
-bound needs no logarithm, no string and no branch, and stays in generated code.
+bound needs no logarithm and stays in generated code. The bits are counted in one
+step that names the value once: in a branch each repeat of it is worked out anew.
 """
 
 from __future__ import annotations
@@ -20,10 +21,15 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _smear(v: Column) -> Column:
-    for shift in (1, 2, 4, 8, 16, 32):
-        v = v.bitwiseOR(F.shiftright(v, shift))
-    return v
+def _bits(v: Column) -> Column:
+    """Binary digits of a LONG: 1 for zero, 64 for negative values."""
+    return F.length(F.bin(v))
+
+
+def _fill(v: Column, g: int) -> Column:
+    """All bits below the value's ``g + 1`` leading ones."""
+    mask = F.call_function("shiftrightunsigned", F.lit(-1).cast("bigint"), F.lit(64) - _bits(v))
+    return F.shiftright(mask, g + 1)
 
 
 def h2_clamp(value, max_power: int = WINDOW_MAX_POWER) -> Column:
@@ -42,12 +48,12 @@ def h2_bound(value, g: int = WINDOW_GROUPING, n: int = WINDOW_MAX_POWER) -> Colu
     """Inclusive upper bound of the value's bucket (LONG; DECIMAL(20,0) when n is 64)."""
     v = h2_clamp(value, n)
     if n < 64:
-        return v.bitwiseOR(F.shiftright(_smear(v), g + 1))
+        return v.bitwiseOR(_fill(v, g))
     low = F.least(v, u64(2**63 - 1)).cast("bigint")
     step = u64(2 ** (63 - g))
     top = (v - v % step + (step - 1)).cast(U64)
     return F.when(v > F.lit(2**63 - 1), top).otherwise(
-        low.bitwiseOR(F.shiftright(_smear(low), g + 1)).cast(U64))
+        low.bitwiseOR(_fill(low, g)).cast(U64))
 
 
 def h2_index(value, g: int = WINDOW_GROUPING, n: int = WINDOW_MAX_POWER) -> Column:
@@ -63,7 +69,7 @@ def h2_index(value, g: int = WINDOW_GROUPING, n: int = WINDOW_MAX_POWER) -> Colu
 
 
 def _long_index(v: Column, g: int) -> Column:
-    s = F.bit_count(_smear(v)) - F.lit(1 + g)
+    s = _bits(v) - F.lit(1 + g)
     octave = F.call_function("shiftright", v, s) - F.lit(2**g)
     return F.when(v < F.lit(2 ** (g + 1)), v).otherwise(
         (s + 1).cast("bigint") * F.lit(2**g) + octave)

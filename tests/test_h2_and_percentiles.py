@@ -50,6 +50,17 @@ def test_small_values_are_exact(spark):
     assert all(int(r.b) == r.id for r in rows)
 
 
+def test_negative_values_and_nulls_keep_their_place(spark):
+    df = spark.createDataFrame([(-1,), (-5,), (-2**63,), (None,)], "v bigint")
+    rows = df.select("v", h2_bound("v", 3, 52).alias("b"), h2_index("v", 3, 52).alias("i")).collect()
+    assert [(r.b, r.i) for r in rows] == [(-1, -1), (-1, -5), (-1, -2**63), (2**52 - 1, 399)]
+
+
+def test_the_value_is_named_a_few_times(spark):
+    for c in (h2_bound("the_value", 3, 64), h2_index("the_value", 3, 64), h2_bound("the_value"), h2_index("the_value")):
+        assert repr(c).count("the_value") <= 10
+
+
 def test_large_values_pin_the_top_bucket(spark):
     df = spark.createDataFrame([(Decimal(2**64 - 1),), (Decimal(5),)], "v decimal(20,0)")
     rows = sorted(r.c for r in df.select(h2_clamp("v").alias("c")).collect())
