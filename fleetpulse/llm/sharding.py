@@ -67,5 +67,6 @@ def external_shuffle(docs: DataFrame, shards: int, seed: int = 11, folder: str |
 
 
 def slots(written: DataFrame, offsets: DataFrame) -> DataFrame:
-    """``written`` with its gapless ``slot``."""
-    return written.join(offsets.select("shard", "bucket", "first"), ["shard", "bucket"]).withColumn("slot", F.col("first") + F.col("place")).drop("first")
+    """``written`` with its gapless ``slot``. The offsets, one short row for each ``bucket_bytes`` of
+    texts, are broadcast: a shuffle would write all texts to disk once more."""
+    return written.join(F.broadcast(offsets.select("shard", "bucket", "first")), ["shard", "bucket"]).withColumn("slot", F.col("first") + F.col("place")).drop("first")

@@ -155,6 +155,19 @@ def test_shards_grow_into_the_new_one(spark):
     assert abs(np.corrcoef(order[:1000], range(1000))[0, 1]) < 0.2
 
 
+def test_texts_are_shuffled_once(spark):
+    docs = spark.range(100).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab "), F.col("id").cast("int")).alias("text"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = sharding.slots(*sharding.external_shuffle(docs, 4, bucket_bytes=500))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert out.groupBy("shard").agg((F.max("slot") + 1 - F.count("*")).alias("gap")).where("gap != 0").count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_chat_events(spark):
     log = [(1, 0, 0, 0, "open", "user", 0, 0), (1, 0, 0, 1, "delta", "hexlo", 0, 0), (1, 0, 0, 2, "edit", "l", 2, 1), (1, 1, 0, 0, "open", "assistant", 0, 0),
            (1, 1, 0, 1, "delta", "bad", 0, 0), (1, 1, 0, 2, "regenerate", "", 0, 0), (1, 1, 0, 3, "delta", "good \\ </s>", 0, 0), (1, 1, 0, 4, "delta", "<s> é", 0, 0)]
