@@ -66,12 +66,13 @@ def runs(bounds: np.ndarray, most: int = RUN) -> Iterator[tuple[int, int]]:
 
 
 class Prefix:
-    """Hashes of any byte ranges of a buffer from one running sum."""
+    """Hashes of any ranges of a buffer, of bytes or of 64-bit values, from one running sum."""
 
     def __init__(self, data: np.ndarray):
         n = len(data)
+        values = VALUES[data] if data.dtype == np.uint8 else data
         self.sums = np.zeros(n + 1, U)
-        np.cumsum(VALUES[data] * powers(BASE, n + 1)[:n], out=self.sums[1:])
+        np.cumsum(values * powers(BASE, n + 1)[:n], out=self.sums[1:])
         self.inverse = powers(pow(BASE, -1, 2**64), n + 1)
 
     def of(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -92,6 +93,14 @@ def word_bounds(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, bounds)
 
 
+class Words(Prefix):
+    """Hashes of any runs of words of a buffer, with the words' bytes and the number of words before each row bound."""
+
+    def __init__(self, data: np.ndarray, bounds: np.ndarray):
+        self.first, self.end, self.before = word_bounds(data, bounds)
+        super().__init__(Prefix(data).of(self.first, self.end))
+
+
 def shingles(words: np.ndarray, width: int) -> np.ndarray:
     """Distinct hashes of ``width`` words in a row, ascending; of all words where there are fewer."""
     n = len(words)

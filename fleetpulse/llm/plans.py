@@ -106,7 +106,8 @@ def op6_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.find_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256",
+                        F.size("passages").cast("long").alias("n_passages"), F.col("passage_words").alias("n_passage_words"))
 
 
 @query()
