@@ -93,7 +93,7 @@ def word_bounds(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, bounds)
 
 
-class Words(Prefix):
+class WordPrefix(Prefix):
     """Hashes of any runs of words of a buffer, with the words' bytes and the number of words before each row bound."""
 
     def __init__(self, data: np.ndarray, bounds: np.ndarray):

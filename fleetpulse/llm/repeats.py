@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import U, Prefix, Words, flat, runs
+from .bytetext import U, Prefix, WordPrefix, flat, runs
 from .tables import stored
 
 FLUSH = 1_000_000
@@ -83,9 +83,9 @@ def in_bytes(data: np.ndarray, bounds: np.ndarray) -> tuple[Prefix, np.ndarray]:
     return Prefix(data), bounds
 
 
-def in_words(data: np.ndarray, bounds: np.ndarray) -> tuple[Words, np.ndarray]:
+def in_words(data: np.ndarray, bounds: np.ndarray) -> tuple[WordPrefix, np.ndarray]:
     """The same in words."""
-    words = Words(data, bounds)
+    words = WordPrefix(data, bounds)
     return words, words.before
 
 
@@ -327,7 +327,7 @@ def _passages(length: int, v: int, buckets: int):
             places, copies, marks = (batch.column(k).to_pylist() for k in (2, 3, 4))
             covered, spans = [], []
             for i in range(len(bounds) - 1):
-                own = Words(data[bounds[i]:bounds[i + 1]], np.array([0, bounds[i + 1] - bounds[i]]))
+                own = WordPrefix(data[bounds[i]:bounds[i + 1]], np.array([0, bounds[i + 1] - bounds[i]]))
                 n = len(own.first)
                 if copies[i] > 1:  # has a name, so it has the words
                     turn = np.array([[0, n]])
