@@ -45,3 +45,24 @@ def test_few_documents_of_one_language(spark):
     rows = [(i, document(rng, 100 if i == 7 else 0), "en", f"s{i % 3}") for i in range(8)]
     got = {r.doc_id: r.kept for r in quality.quality_rules(spark.createDataFrame(rows, DDL)).collect()}
     assert [i for i in got if not got[i]] == [7]
+
+
+def test_kept_rows_are_whole_and_no_text_is_shuffled(spark):
+    """A column named like a statistic, nulls and copies stay as they are; rows do not travel to their verdicts."""
+    rng = random.Random(7)
+    rows = [(i, document(rng, 100 if i % 40 == 0 else 0), None if i % 5 == 0 else "en", f"s{i % 2}", None if i % 3 else -i) for i in range(400)]
+    rows += [rows[1], rows[1], rows[40], (1000, None, "en", "s1", 5), (None, rows[2][1], None, None, None)]
+    docs = spark.createDataFrame(rows, DDL + ", n_words long")
+    verdicts = quality.quality_rules(docs.drop("n_words").distinct()).collect()
+    kept = {(r.doc_id, r.text, r.lang, r.source) for r in verdicts if r.kept}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")
+    try:
+        good = quality.keep_good(docs)
+        plan = good._jdf.queryExecution().executedPlan().toString()
+        got = good.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert good.columns == docs.columns and 0 < len(got) < len(rows)
+    assert sorted(map(str, map(tuple, got))) == sorted(str(r) for r in rows if r[:4] in kept)
+    assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
